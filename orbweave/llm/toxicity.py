@@ -128,7 +128,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(both - one), pa.array(one)], ["h", "y0", "y1"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior: float = 100.0, floor: float = 0.5, z_least: float = 3.5, w_least: float = 3.5) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior_share: float = 0.01, floor: float = 0.5, z_least: float = 3.5, w_least: float = 3.5) -> ToxicModel:
     """Learn from at most ``max_labelled`` documents of each label, taken in a fixed pseudo-random order.
 
     Only ids and labels are held against that bound; the texts are joined to
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior: fl
     none = ToxicModel(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, 0.0, 0.0, -50.0)
     if not n0 or not n1:
         return none
+    prior = prior_share * (n0 + n1)
     share = (F.col("y0") + F.col("y1")) / F.lit(float(n0 + n1))
     alpha = share * prior + floor
     odds = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(n + prior + 2 * floor) - F.col(y) - alpha))
