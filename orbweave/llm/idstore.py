@@ -30,8 +30,8 @@ from .encoder import encoder, vocabulary
 from .runtime import crc_order, documents, map_arrow
 
 END_ID = 2
-#: Documents and bytes that the dictionary is trained on, at most; its size; ids in a file, about.
-SAMPLE, SAMPLE_BYTES, DICT_BYTES, FILE_IDS = 2_000, 16 << 20, 64 << 10, 4 << 20
+#: The dictionary is trained on so many documents, of so many ids each, and bytes in all, at most; its size; ids in a file, about.
+SAMPLE, SAMPLE_IDS, SAMPLE_BYTES, DICT_BYTES, FILE_IDS = 2_000, 8192, 16 << 20, 64 << 10, 4 << 20
 LEVEL = 3
 FILES = "part long, seq long, dict_sha256 string, n_ids long, index binary, frames binary"
 _ENTRY = "<qqqq"  # doc_id, place of the frame, its bytes, ids
@@ -49,8 +49,8 @@ def train(docs: DataFrame, path: str, end_id: int = END_ID) -> bytes:
         enc = encoder(path)
         for b in batches:
             got, off = enc.encode(b.column("text"))
-            # a sample of training bytes, not of results: a few kB of a document show its ids well enough
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([got[off[i] : off[i + 1]].astype("<u4").tobytes()[:8192] for i in range(b.num_rows)], pa.binary())], ["doc_id", "raw"])
+            small = [i for i in range(b.num_rows) if off[i + 1] - off[i] <= SAMPLE_IDS]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(small, pa.int64())), pa.array([got[off[i] : off[i + 1]].astype("<u4").tobytes() for i in small], pa.binary())], ["doc_id", "raw"])
 
     rows = map_arrow(texts, run, "doc_id long, raw binary").orderBy("doc_id").limit(SAMPLE).collect()
     samples, total = [], 0
