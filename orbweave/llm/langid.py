@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,7 +97,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for lang in b.column("learn").unique().to_pylist():
-                p = K.words(b.filter(pa.compute.equal(b.column("learn"), lang)).column("text"))
+                p = K.words(b.filter(pc.equal(b.column("learn"), lang)).column("text"))
                 if not len(p):
                     continue
                 # buckets, then letters by script
@@ -194,23 +195,23 @@ def predict(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> Da
     names = model.languages
 
     def finish(held: list, scores: WordScores) -> Iterator[pa.RecordBatch]:
-        script_of = [word_scripts(p) for _, p in held]
-        score = np.concatenate([scores(p, s) for (_, p), (s, _) in zip(held, script_of, strict=True)])
+        script_of = [word_scripts(p) for _, p, _ in held]
+        score = np.concatenate([scores(p, s) for (_, p, _), (s, _) in zip(held, script_of, strict=True)])
         first, at = [np.zeros(1, np.int64)], 0
-        for _, p in held:
+        for _, p, _ in held:
             first.append(p.first[1:] + at)
             at += len(p)
         label_all = viterbi(score, np.concatenate(first), switch)
         at = 0
-        for (ids, p), (_, letters) in zip(held, script_of, strict=True):
+        for (ids, p, told), (_, letters) in zip(held, script_of, strict=True):
             label, n = label_all[at : at + len(p)], len(ids)
             at += len(p)
             doc = p.doc()
             share = np.bincount(doc * len(names) + label, weights=letters, minlength=n * len(names)).reshape(n, len(names))
             total = share.sum(1)
             best = share.argmax(1)
-            told = total > 0
-            worth = np.where(told, share.max(1) / np.maximum(total, 1), 0.0)
+            # letters of scripts beyond the ranges tell nothing: the first language, at its even share
+            worth = np.where(told, np.where(total > 0, share.max(1) / np.maximum(total, 1), 1 / len(names)), 0.0)
             # spans: runs of a label over the words that have letters
             real = np.flatnonzero(letters > 0)
             d, lab = doc[real], label[real]
@@ -235,7 +236,7 @@ def predict(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> Da
             if not names:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(["und"] * b.num_rows), pa.array(np.zeros(b.num_rows)), pa.array(np.zeros(b.num_rows), pa.int32()), pa.array([[]] * b.num_rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))], ["doc_id", "lang_pred", "score", "n_spans", "spans"])
                 continue
-            held.append((b.column("doc_id"), p))
+            held.append((b.column("doc_id"), p, pc.match_substring_regex(p.texts.column, r"\pL").to_numpy(zero_copy_only=False)))
             n += len(p)
             if n >= GROUP_WORDS:
                 yield from finish(held, scores)

@@ -314,12 +314,13 @@ def test_languages_and_mixed_spans(spark):
     model = langid.fit(docs(spark, rows + [(998, "junk", None), (None, None, "aa")]))
     assert model.languages == sorted(syllables)
     mixed = said("aa", 12) + ", " + said("ru", 20)
-    ask = [(200, said("bb", 9)), (201, mixed), (202, None), (203, ""), (204, "123 !!"), (205, said("gr", 3000)), (200, said("bb", 4)), (None, said("ru", 5))]
+    ask = [(200, said("bb", 9)), (201, mixed), (202, None), (203, ""), (204, "123 !!"), (205, said("gr", 3000)), (206, "\U0001d400\U00020000"), (207, "\u00d7 \u2014"), (200, said("bb", 4)), (None, said("ru", 5))]
     got = langid.predict(docs(spark, ask), model).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(ask) and all(r["lang_pred"] == "bb" for r in got if r["doc_id"] == 200)
     assert [by[k]["lang_pred"] for k in (201, 202, 203, 204, 205, None)] == ["ru", "und", "und", "und", "gr", "ru"]
     assert [(s["lang"], mixed[s["start"] : s["end"]]) for s in by[201]["spans"]] == [("aa", mixed.split(",")[0]), ("ru", mixed.split(", ")[1])]
+    assert by[206]["lang_pred"] == "aa" and by[206]["score"] == 0.25 and by[207]["lang_pred"] == "und"
     assert by[202]["score"] == 0 and 0.5 < by[201]["score"] < 1
     none = langid.predict(docs(spark, ask), langid.fit(docs(spark, []))).collect()
     assert {r["lang_pred"] for r in none} == {"und"}
