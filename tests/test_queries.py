@@ -56,3 +56,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_optional_parts():
+    """The driver may take the corpus subpackage and its pipeline away."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['orbweave.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'score_base' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True)
