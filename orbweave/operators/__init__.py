@@ -1,0 +1 @@
+"""Operators of the series engine."""

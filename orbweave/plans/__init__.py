@@ -1,0 +1 @@
+"""Fixtures and queries on the driver's tables."""

@@ -1,0 +1 @@
+"""Nothing here streams yet: every operator reads its series whole."""
