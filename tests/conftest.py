@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
     from orbweave.session import session
 
     s = session(
-        "local[2]",
+        "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
