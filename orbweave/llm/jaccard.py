@@ -9,8 +9,8 @@ prefixes; a match counts while they share at least the prefix to which the targe
 recall lets ``depth`` shorten it. Candidates whose signatures agree enough are
 verified on whole sets, each class with its likeliest partner first, then those
 that still separate components. Where a prefix still holds several components,
-all its members of different components are compared by signature, in blocks,
-and verified until none is left untested. Nothing emits all pairs of a group.
+all its members of different components are compared, in blocks, by signature and
+then on sets. Nothing emits all pairs of a group.
 
 Result: one row for each document: its class (least doc_id of its component of
 verified links), verified links of its text with different texts, and rows of its
@@ -39,8 +39,6 @@ from .runtime import documents, map_arrow, settle
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.998
 TREES, LONGEST = 16, 8
 HASHES = TREES * LONGEST
-#: Signatures that agree in fewer than this share of places aren't verified: four standard deviations below 0.8.
-LEAST_AGREEMENT = 0.66
 BLOCK = 2048
 
 _RNG = np.random.default_rng(17)
@@ -171,42 +169,50 @@ def _in_bitmap(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7)) & 1 > 0
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (settled) with their exact similarity where it is reached, from whole texts.
+def _sets(ids: DataFrame, n: int, reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(rep, h): the sets of about n classes' texts.
 
-    Only texts of classes in some pair are read into sets: a bitmap of bounded
-    size picks them (and a few more), the join keeps theirs.
+    A bitmap of bounded size picks the texts (and a few more), the join keeps theirs.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    n = 2 * pairs.count()
-    if not n:
-        return pairs.select("a", "b")
     bitmap = _bitmap(ids, n)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.flatnonzero(_in_bitmap(bitmap, b.column("doc_id").to_numpy()))
-            if len(keep):
-                for i in range(0, len(keep), 256):
-                    part = pa.array(keep[i : i + 256])
-                    h, off = sets(b.column("text").take(part), words)
-                    with np.errstate(over="ignore"):
-                        mixed = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h), dtype=np.uint64)])
-                        d1 = mixed[off[1:]] - mixed[off[:-1]]
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(part), pa.array(d1.view(np.int64)), pa.array([h[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)], pa.binary())], ["doc_id", "d1", "h"])
+            for i in range(0, len(keep), 256):
+                part = pa.array(keep[i : i + 256])
+                h, off = sets(b.column("text").take(part), words)
+                with np.errstate(over="ignore"):
+                    mixed = np.concatenate([[np.uint64(0)], np.cumsum(K.mix(h), dtype=np.uint64)])
+                    d1 = mixed[off[1:]] - mixed[off[:-1]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(part), pa.array(d1.view(np.int64)), pa.array([h[off[k] : off[k + 1]].tobytes() for k in range(len(off) - 1)], pa.binary())], ["doc_id", "d1", "h"])
 
     made = map_arrow(documents(docs).where("doc_id is not null"), hashes, "doc_id long, d1 long, h binary")
     # of a doc_id's rows that which its class was made from
-    own = made.join(reps.select(F.col("rep").alias("doc_id"), "d1"), ["doc_id", "d1"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "h")
+    return made.join(reps.select(F.col("rep").alias("doc_id"), "d1").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id"), ["doc_id", "d1"]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "h")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs (settled) that reach the similarity, from whole texts."""
+    n = 2 * pairs.count()
+    if not n:
+        return pairs.select("a", "b")
+    own = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), n, reps, docs, words)
     both = pairs.select("a", "b").join(own.withColumnsRenamed({"rep": "a", "h": "ha"}), "a").join(own.withColumnsRenamed({"rep": "b", "h": "hb"}), "b").select("a", "b", "ha", "hb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column("ha"), b.column("hb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+                ok[i] = _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
     return map_arrow(both, compare, "a long, b long")
@@ -226,11 +232,13 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a > b").distinct()
 
-    now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     total = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = total(now)
     while before[0]:
-        now = settle(star(star(now, True), False))
+        # a step makes no more edges than there are; few of them needn't lie in as many files as the texts
+        parts = max(4, -(-before[0] // 100_000))
+        now = settle(star(star(now.coalesce(parts), True), False).coalesce(parts))
         after = total(now)
         if after == before:
             break
@@ -242,65 +250,70 @@ def _labelled(reps: DataFrame, comps: DataFrame) -> DataFrame:
     return reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def _across(prefixes: DataFrame, reps: DataFrame, comps: DataFrame, tested: DataFrame, most: int, least: float) -> DataFrame:
-    """Untested agreeing pairs of different components under one prefix, the ``most`` likeliest of each class and component.
+def _crowded(prefixes: DataFrame) -> DataFrame:
+    """Prefixes of three classes or more, settled: of two, the neighbours were all there is to compare."""
+    many = prefixes.groupBy("key").agg(F.count("*").alias("m")).where("m >= 3").select("key")
+    return settle(prefixes.select("key", "rep").join(many, "key"))
 
-    Only prefixes with three members and two components can have such pairs. The
-    members of one, cut into blocks, are compared block by block, those of the
-    largest component only with the others.
+
+def _across(crowded: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFrame, similarity: float, agree: float, words: int) -> DataFrame:
+    """Links between different components under one prefix: every member outside a prefix's largest component is held against all members.
+
+    Members come in blocks, with their sets; a pair of blocks meets in one task.
+    There signatures leave the pairs that can be similar, likeliest first, and
+    sets decide; once a member is linked to a component its other pairs with that
+    component can't change a class. What comes out is links, not pairs.
     """
-    known = _labelled(reps.select("rep", "sig"), comps)
-    placed = prefixes.join(known.select("rep", "comp"), "rep")
+    placed = _labelled(crowded, comps)
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("m >= 3 and k >= 2")
+    mixed = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.count("*").alias("k"), F.max(F.struct("c", "comp")).alias("top")).where("k >= 2")
     mixed = mixed.select("key", "m", F.col("top.comp").alias("base"), F.col("top.c").alias("c"))
-    members = placed.select("key", "rep", "comp").join(mixed, "key").join(reps.select("rep", "sig"), "rep")
+    members = settle(placed.join(mixed, "key"))
+    own = _sets(members.select(F.col("rep").alias("id")), members.count(), reps, docs, words)
+    known = members.join(reps.select("rep", "sig"), "rep").join(own, "rep")
     # one side: members outside the largest component; other side: all. Both cut into blocks, each side repeated for the other's.
-    stray = F.col("comp") != F.col("base")
     n_left = F.ceil((F.col("m") - F.col("c")) / BLOCK).cast("int")
     n_all = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), n_all).cast("int")
-    left = members.where(stray).select("key", "rep", "comp", "sig", F.lit(True).alias("left"), F.pmod(F.xxhash64("rep"), n_left).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
-    right = members.select("key", "rep", "comp", "sig", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), n_left - 1)).alias("i"), mine.alias("j"))
-    dealt = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("left"), "rep")
-
-    def compare(group: list) -> Iterator[tuple[int, int, float, int]]:
-        rep, comp, sig, is_left = (np.concatenate([g[k] for g in group]) for k in range(4))
-        ls, rs = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        for at in range(0, len(ls), 32):
-            x = ls[at : at + 32]
-            est = _agreement(sig[x][:, None], sig[rs][None])
-            est[comp[x][:, None] == comp[rs][None]] = 0
-            for i, j in zip(*np.nonzero(est >= least), strict=True):
-                yield int(rep[x[i]]), int(rep[rs[j]]), float(est[i, j]), int(comp[rs[j]])
+    spot = F.when(F.col("comp") != F.col("base"), F.transform(F.sequence(F.lit(0), n_all - 1), lambda j: F.struct(F.lit(True).alias("left"), F.pmod(F.xxhash64("rep"), n_left).cast("int").alias("i"), j.alias("j")))).otherwise(F.array().cast("array<struct<left:boolean,i:int,j:int>>"))
+    every = F.transform(F.sequence(F.lit(0), n_left - 1), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), F.pmod(F.xxhash64("rep"), n_all).cast("int").alias("j")))
+    dealt = known.select("key", "rep", "comp", "sig", "h", F.explode(F.concat(spot, every)).alias("z")).select("key", "z.i", "z.j", "z.left", "rep", "comp", "sig", "h")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    def links(group: list) -> Iterator[tuple[int, int]]:
+        rep, comp, sig, left = (np.concatenate([g[k] for g in group]) for k in range(4))
+        h = [x for g in group for x in g[4]]
+        right = np.flatnonzero(~left)
+        for x in np.flatnonzero(left).tolist():
+            est = _agreement(sig[x][None], sig[right])
+            est[comp[right] == comp[x]] = 0
+            joined = set()
+            for y in right[np.argsort(-est, kind="stable")][: int((est >= agree).sum())].tolist():
+                if comp[y] not in joined and _similar(h[x], h[y], similarity):
+                    joined.add(comp[y])
+                    yield int(rep[x]), int(rep[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(group: list) -> Iterator[pa.RecordBatch]:
-            found = list(compare(group)) if group else []
+            found = list(links(group)) if group else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.float64() if k == 2 else pa.int64()) for k in range(4)], ["x", "y", "est", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], ["a", "b"])
 
         group, at = [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            spot = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
-            cols = (b.column("rep").to_numpy(), b.column("comp").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES), b.column("left").to_numpy(zero_copy_only=False).astype(bool))
-            cuts = np.flatnonzero((spot[1:] != spot[:-1]).any(1)) + 1
-            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(spot)), strict=True):
-                if at is not None and (spot[lo] != at).any():
+            place = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
+            cols = (b.column("rep").to_numpy(), b.column("comp").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES), b.column("left").to_numpy(zero_copy_only=False).astype(bool), [np.frombuffer(x.as_py(), np.uint64) for x in b.column("h")])
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(place)), strict=True):
+                if at is not None and (place[lo] != at).any():
                     yield from told(group)
                     group = []
-                at = spot[lo]
+                at = place[lo]
                 group.append([c[lo:hi] for c in cols])
         yield from told(group)
 
-    found = map_arrow(dealt, run, "x long, y long, est double, other long")
-    pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "est", "other").dropDuplicates(["a", "b", "x"]).join(tested, ["a", "b"], "left_anti")
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("x", "other").orderBy(F.desc("est"), "a", "b")
-    return pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("a", "b").distinct()
+    return map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
@@ -320,28 +333,22 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     candidates = settle(_agreeing(near, reps, agree))
     likeliest = settle(candidates.groupBy("b").agg(F.max(F.struct("est", F.negative("a").alias("m"))).alias("z")).select(F.negative("z.m").alias("a"), "b"))
     links = settle(verify(likeliest, reps, texts, similarity, words))
-    tested = likeliest.select("a", "b")
     # pairs of a document's own classes
     own = settle(signed.select("doc_id", "d1", "d2", "n").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select("doc_id", "rep", "n").distinct())
     same = own.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     comps = components(links.unionByName(same))
-    most = 0
-    while True:
-        part = comps.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca")
-        if not most:
-            rest = candidates.select("a", "b").join(tested, ["a", "b"], "left_anti").join(part, "a", "left").join(comps.withColumnRenamed("node", "b").withColumnRenamed("comp", "cb"), "b", "left")
-            more = settle(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
-            most = 4
-        else:
-            more = settle(_across(prefixes, reps, comps, tested, most, agree))
-            most *= 8
-            if not more.take(1):
-                break
-        new = settle(verify(more, reps, texts, similarity, words))
-        tested = settle(tested.unionByName(more.select("a", "b")).distinct())
-        if new.take(1):
-            links = settle(links.unionByName(new).distinct())
-            comps = components(links.unionByName(same))
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias("c" + c))
+    rest = candidates.select("a", "b").join(likeliest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = settle(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
+    new = settle(verify(more, reps, texts, similarity, words))
+    if new.take(1):
+        links = links.unionByName(new)
+        comps = components(links.unionByName(same))
+    new = settle(_across(_crowded(prefixes), reps, comps, texts, similarity, agree, words))
+    if new.take(1):
+        links = links.unionByName(new)
+        comps = components(links.unionByName(same))
+    links = links.distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     told = _labelled(classes.groupBy("rep").agg(F.sum("n_copies").alias("n_copies")), comps).join(degree, "rep", "left").select("rep", "comp", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     mapped = own.select("doc_id", "rep").join(told, "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"), F.sum("n_links").alias("n_links"), F.max("n_copies").alias("n_copies"))
