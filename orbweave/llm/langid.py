@@ -88,9 +88,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     only those ids, of a bounded number, are broadcast to the texts.
     """
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).withColumnRenamed("count", "_n")
     order = Window.partitionBy("lang").orderBy(crc_order("doc_id"), "doc_id")
-    chosen = known.join(F.broadcast(common), "lang", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", F.col("lang").alias("learn")).distinct()
+    # about 1.2 times the wanted number by a threshold on hashes, so that no window holds more of a frequent language
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < F.lit(1.2e6 * per_language) / F.col("_n")
+    chosen = known.join(F.broadcast(common), "lang").where(share).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", F.col("lang").alias("learn")).distinct()
     rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("text", "learn")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
