@@ -221,24 +221,24 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node of each node's component, by alternating large-star and small-star steps."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, parts: int) -> DataFrame:
         near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         # here a is the centre; small stars only look at lower neighbours
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = near.join(least, "a")
+        joined = near.join(least, "a").coalesce(parts)
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a > b").distinct()
+            out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")).coalesce(parts))
+        return out.where("a > b").distinct().coalesce(parts)
 
     total = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = total(now)
     while before[0]:
-        # a step makes no more edges than there are; few of them needn't lie in as many files as the texts
+        # a step makes no more edges than there are; few of them need neither as many tasks nor files as the texts
         parts = max(4, -(-before[0] // 100_000))
-        now = settle(star(star(now.coalesce(parts), True), False).coalesce(parts))
+        now = settle(star(star(now.coalesce(parts), True, parts), False, parts))
         after = total(now)
         if after == before:
             break
