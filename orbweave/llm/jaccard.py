@@ -13,9 +13,9 @@ all its members of different components are compared, in blocks, by signature an
 then on sets. Nothing emits all pairs of a group.
 
 Result: one row for each document: its class (least doc_id of its component of
-verified links), verified links of its text with different texts, and rows of its
-text. Links between components' members that are already joined aren't sought
-further: they change no class.
+verified links), links of its text with different texts, and rows of its text.
+All links are inside components, so once these are known the sets of each
+component's members are all compared, in blocks of which only counts come out.
 
 Defined results: a null or empty text, or one without words, links with nothing
 and is a class of its own. Rows of one doc_id are one document: the classes of
@@ -316,6 +316,98 @@ def _across(crowded: DataFrame, reps: DataFrame, comps: DataFrame, docs: DataFra
     return map_arrow(dealt, run, "a long, b long").distinct()
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of x shares with each of y.
+
+    Values in many sets of both are columns of a matrix product; the rest are met one by one.
+    """
+    out = np.zeros((len(x), len(y)), np.float32)
+    a, b = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(a, b)
+    if not len(shared):
+        return out
+
+    def places(h: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        t = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        own = shared[t] == h
+        t, i = t[own], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[own]
+        order = np.argsort(t, kind="stable")
+        return t[order], i[order]
+
+    (ta, ia), (tb, ib) = places(a, x), places(b, y)
+    na, nb = np.bincount(ta, minlength=len(shared)), np.bincount(tb, minlength=len(shared))
+    fa, fb = np.append(0, np.cumsum(na)), np.append(0, np.cumsum(nb))
+    dense = np.flatnonzero(100 * na * nb > out.size)
+    for k in range(0, len(dense), 2048):
+        part = dense[k : k + 2048]
+        left, right = np.zeros((len(x), len(part)), np.float32), np.zeros((len(y), len(part)), np.float32)
+        left[ia[K.ragged(fa[part], na[part])], np.repeat(np.arange(len(part)), na[part])] = 1
+        right[ib[K.ragged(fb[part], nb[part])], np.repeat(np.arange(len(part)), nb[part])] = 1
+        out += left @ right.T
+    few = np.flatnonzero(100 * na[ta] * nb[ta] <= out.size)
+    cost = np.cumsum(nb[ta[few]])
+    k = 0
+    while k < len(few):
+        until = max(k + 1, int(np.searchsorted(cost, (cost[k - 1] if k else 0) + (1 << 22), "right")))
+        t, i = ta[few[k:until]], ia[few[k:until]]
+        out += np.bincount(np.repeat(i, nb[t]) * len(y) + ib[K.ragged(fb[t], nb[t])], minlength=out.size).reshape(out.shape)
+        k = until
+    return out
+
+
+def _degrees(reps: DataFrame, comps: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(rep, n_links): links of each member of the components of three classes or more, from whole sets.
+
+    Members come in blocks; a pair of blocks meets in one task, which tells one count for each member.
+    """
+    sizes = comps.groupBy("comp").agg((F.count("*") + 1).alias("m")).where("m >= 3")
+    members = settle(_labelled(reps.select("rep"), comps).join(sizes, "comp"))
+    n = members.count()
+    if not n:
+        return members.select("rep", F.lit(0).cast("long").alias("n_links"))
+    own = _sets(members.select(F.col("rep").alias("id")), n, reps, docs, words)
+    n_blocks = F.ceil(F.col("m") / F.least(F.lit(BLOCK), F.greatest(F.lit(256), F.ceil(F.col("m") / 16)))).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), n_blocks).cast("int")
+    dealt = members.join(own, "rep").select("comp", "rep", "h", mine.alias("mine"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+    dealt = dealt.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "h")
+    dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
+
+    def counts(at: np.ndarray, group: list) -> pa.RecordBatch:
+        rep, mine = (np.concatenate([g[k] for g in group]) for k in range(2))
+        h = [x for g in group for x in g[2]]
+        left, right = np.flatnonzero(mine == at[1]), np.flatnonzero(mine == at[2])
+        n = np.zeros(len(rep), np.int64)
+        if len(left) and len(right):
+            size = np.array([len(x) for x in h])
+            both = overlaps([h[k] for k in left], [h[k] for k in right])
+            ok = both >= similarity * (size[left][:, None] + size[right] - both) - 1e-9
+            if at[1] == at[2]:
+                np.fill_diagonal(ok, False)
+            else:
+                n[right] = ok.sum(0)
+            n[left] = ok.sum(1)
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n)], ["rep", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("comp", "i", "j")], 1)
+            cols = (b.column("rep").to_numpy(), b.column("mine").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in b.column("h")])
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(place)), strict=True):
+                if at is not None and (place[lo] != at).any():
+                    yield counts(at, group)
+                    group = []
+                at = place[lo]
+                group.append([c[lo:hi] for c in cols])
+        if group:
+            yield counts(at, group)
+
+    return map_arrow(dealt, run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
 def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links and n_copies of every document with a doc_id."""
     least = depth(similarity, recall)
@@ -348,8 +440,10 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, re
     if new.take(1):
         links = links.unionByName(new)
         comps = components(links.unionByName(same))
-    links = links.distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    # a component of two has its one link; in larger ones links were only sought until they were joined
+    all_of = settle(_degrees(reps, comps, texts, similarity, words))
+    pairs = links.distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    degree = pairs.join(all_of, "rep", "left_anti").unionByName(all_of)
     told = _labelled(classes.groupBy("rep").agg(F.sum("n_copies").alias("n_copies")), comps).join(degree, "rep", "left").select("rep", "comp", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     mapped = own.select("doc_id", "rep").join(told, "rep").groupBy("doc_id").agg(F.min("comp").alias("comp"), F.sum("n_links").alias("n_links"), F.max("n_copies").alias("n_copies"))
     bare = map_arrow(texts, _bare, "doc_id long").distinct().join(own.select("doc_id"), "doc_id", "left_anti")

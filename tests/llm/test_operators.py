@@ -243,6 +243,29 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert {r["class_id"] for r in jaccard.join(docs(spark, texts.items())).collect()} == {0}
 
 
+def test_n_links_counts_every_similar_text(spark):
+    rng = random.Random(12)
+    texts = {}
+    for size, words, edits in ((400, 100, 1), (40, 90, 2), (5, 60, 1), (2, 60, 1), (1, 60, 0)):
+        base = prose(rng, words, 10_000).split()
+        for _ in range(size):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(words)] = f"edit{rng.randrange(10**9)}"
+            texts[len(texts)] = " ".join(w)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join(docs(spark, [*texts.items(), (9000, texts[0])])).collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in texts.items() for w in [WORDS.findall(t)]}
+    want = {a: sum(a != b and len(x & y) >= 0.8 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    assert got == want | {9000: want[0]} and max(want.values()) > 300
+
+
+def test_overlaps_are_the_sizes_of_intersections():
+    rng = np.random.default_rng(13)
+    for most in (30, 3000):
+        x, y = ([np.unique(rng.integers(0, most, rng.integers(1, 60)).astype(np.uint64)) for _ in range(n)] for n in (150, 70))
+        assert (jaccard.overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
 def test_depth_reaches_the_recall():
     d = jaccard.depth()
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
