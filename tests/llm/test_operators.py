@@ -434,6 +434,25 @@ def test_secret_scan(spark):
     assert secrets.scan(docs(spark, []), secrets.fit(docs(spark, []))).collect() == []
 
 
+def test_the_network_reads_whole_candidates():
+    rng = np.random.default_rng(14)
+    net = secrets.Network.new(rng)
+    # a filter that answers to "zqzqz" alone, wherever it is
+    net.conv[:], net.bias[:], net.out[:] = 0, -4.5, 0
+    for k, c in enumerate("zqzqz"):
+        net.conv[k * secrets.CHANNELS + secrets._SYMBOL[ord(c)], 0] = 1
+    net.out[0], net.scale, net.shift, net.threshold = 20, 1.0, -5.0, 0.5
+    texts = ["see " + "dir/" * 50 + "zqzqz9 end", "see " + "dir/" * 50 + "plain9 end", "a " + "x" * 70 + "1 then zqzqz", "noDigitsHere-zqzqz", None, "é " + "yo" * 200 + "zqzqz"]
+    got = {d: [t[:3] for t in s] for d, s in secrets.find(K.Texts(pa.array([t or "" for t in texts])), net)}
+    assert got == {0: [("model", 4, 210)], 2: [("model", 2, 73)], 3: [("model", 0, 18)], 5: [("model", 2, 407)]}
+    # the looked-up scores are the network's
+    net = secrets.Network.new(rng)
+    t = K.Texts(pa.array(["p 2024-01-03T10:00 " + "Ab9/" * 12 + " é ok, more text behind it to fill the window"]))
+    s, e, d = secrets._candidates(t)
+    x = np.stack([secrets.picture(w, i) for w, i in secrets._windows(t, s, e, d)])
+    assert np.allclose(net.scores(secrets._codes(t, s, s, e, d)), net.probability(x), atol=1e-5)
+
+
 def brute_secrets(text):
     kinds = [("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 1, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
     found = [(k, *m.span()) for k, p, g, n in kinds for m in re.finditer(p, text) if len(m[g]) >= n]
