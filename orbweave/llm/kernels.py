@@ -181,7 +181,7 @@ def shingles(p: Pieces, n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(n):
             part = np.zeros(len(p), np.uint64)
-            part[: len(p) - k] = p.hash[k:] if k else p.hash
+            part[: max(0, len(p) - k)] = p.hash[k:]
             # past the end of a text with fewer than n words nothing is added
             inside = np.arange(len(p)) + k < p.first[doc + 1] if len(p) else np.zeros(0, bool)
             h = h * mul + np.where(inside, part, np.uint64(0))

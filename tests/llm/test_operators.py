@@ -53,6 +53,17 @@ def test_equal_strings_have_equal_hashes_wherever_they_are():
     assert all(len(v) == 1 for v in by.values()) and len({*map(tuple, by.values())}) == len(by)
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_shingles_of_few_words(n):
+    for counts in [(k,) for k in range(7)] + [(0, 2), (2, 1), (3, 0, 1), (1, 6, 2)]:
+        texts = [" ".join(f"t{i}w{j}" for j in range(k)) for i, k in enumerate(counts)]
+        h, doc = K.shingles(K.words(pa.array(texts, pa.string())), n)
+        assert doc.tolist() == [i for i, k in enumerate(counts) for _ in range(max(1, k - n + 1) if k else 0)]
+        assert len(set(h.tolist())) == len(h)
+        for i, t in enumerate(texts):  # a text's shingles don't depend on what else is in the batch
+            assert h[doc == i].tolist() == K.shingles(K.words(pa.array([t])), n)[0].tolist()
+
+
 def test_a_piece_longer_than_a_block():
     long = "a" * (K.BLOCK + 100)
     p = K.words(pa.array([long, "b", long]))
