@@ -7,10 +7,8 @@ of open bins is kept in a bitset keyed by free space, a piece goes to the
 fullest bin that holds it, and where none does, the fullest bin closes and a new
 one opens. A task packs one share of the pieces, so tasks need nothing of each
 other; only the few numbers of each short piece are shuffled, no ids. Shares
-hold ``SHARE`` pieces whatever the size of the input. Pieces arrive longest
-first, and the bound on open bins (some bytes each) is high enough to keep them
-open for the short ones: that fills sequences to 99.9 % where arbitrary order
-leaves 98.6 %.
+hold ``SHARE`` pieces whatever the size of the input. Pieces arrive in a fixed
+pseudo-random order, which any run of a task repeats.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are
 packed each; their doc_id then stands in several places. An empty table gives no
@@ -32,7 +30,7 @@ from .runtime import documents, map_arrow, settle
 
 SEQUENCE, END_ID = 1024, 2
 #: Bins kept open at once, and pieces that one task packs.
-OPEN_BINS, SHARE = 1 << 16, 100_000
+OPEN_BINS, SHARE = 64, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -117,7 +115,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, size: i
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + x for x, _ in placed], pa.int64()), pa.array([x for _, x in placed], pa.int64())], [*b.schema.names, "sequence_id", "offset"])
 
     # the order within a share must not depend on which shuffle block came first: a task that runs again packs the same
-    dealt = made.where(F.col("length") < size).repartition(shares, F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = made.where(F.col("length") < size).repartition(shares, order).sortWithinPartitions(order, "doc_id", "piece", "ids_crc32")
     short = map_arrow(dealt, run, PACKED)
     full = made.where(F.col("length") == size).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return short.unionByName(full)
