@@ -7,7 +7,9 @@ score is that of its highest n-gram. Words without one clearly over zero cost a
 small penalty, so a random text drifts downwards and its best segment stays short. A linear scan finds all
 maximal scoring segments of a document; their scores are made comparable over
 lengths with the extreme-value law of best segments, summed, and turned into a
-probability with a logistic curve fitted on the labelled documents.
+probability with a logistic curve. The law and the curve are fitted on labelled
+documents that the log-odds weren't learned from, the curve on the same sums
+that scores are made of.
 
 Defined results: a null or empty text, or one without a scored word, gets the
 curve's value at no evidence. Repeated rows are scored alike, row by row. Labels
@@ -18,10 +20,11 @@ score is 0. Extra columns of the inputs are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ from .runtime import crc_order, documents, fold, map_arrow, settle
 
 #: Bytes of the n-grams, and of how many words they are made at a time.
 SIZES, GRAM_WORDS = range(3, 7), 1 << 16
+#: One labelled document of so many is set apart for calibration, if that leaves so many of each label there.
+CALIBRATE, LEAST_HELD = 4, 8
 SCORED = "doc_id long, score double, n_passages int, passages array<struct<start:int,end:int,score:double>>"
 
 
@@ -137,9 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior_sha
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where("toxic = 0").orderBy(crc_order("doc_id"), "doc_id").limit(max_labelled).unionByName(known.where("toxic = 1").orderBy(crc_order("doc_id"), "doc_id").limit(max_labelled))
     # of equal texts one is learned from, so that a large group of copies doesn't make its words look common
-    rows = settle(documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")))
-    counted = map_arrow(rows, _counts, "h long, y0 long, y1 long").groupBy("h").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
-    n0, n1 = (int(r[0] or 0) for r in [rows.groupBy().agg(F.sum((F.col("toxic") == k).cast("long"))).first() for k in (0, 1)])
+    rows = settle(documents(docs).join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("apart", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(CALIBRATE)) == 0))
+    learned = rows.where(~F.col("apart"))
+    counted = map_arrow(learned, _counts, "h long, y0 long, y1 long").groupBy("h").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
+    size = {(r["apart"], r["toxic"]): r["count"] for r in rows.groupBy("apart", "toxic").count().collect()}
+    n0, n1 = size.get((False, 0), 0), size.get((False, 1), 0)
     none = ToxicModel(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.0, 0.0, 0.0, -50.0)
     if not n0 or not n1:
         return none
@@ -148,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior_sha
     alpha = share * prior + floor
     odds = lambda y, n: F.log((F.col(y) + alpha) / (F.lit(n + prior + 2 * floor) - F.col(y) - alpha))
     scored = counted.where("y1 >= 3").select("h", (odds("y1", n1) - odds("y0", n0)).alias("w"), (1 / (F.col("y1") + alpha) + 1 / (F.col("y0") + alpha)).alias("v"))
-    kept = scored.where((F.col("w") >= w_least) & (F.col("w") / F.sqrt("v") >= z_least)).orderBy(F.desc(F.col("w") / F.sqrt("v")), "h").limit(20_000).collect()
+    kept = scored.where((F.col("w") >= w_least) & (F.col("w") / F.sqrt("v") >= z_least)).collect()
     if not kept:
         return none
     h = np.array([r["h"] for r in kept], np.int64).view(np.uint64)
@@ -157,24 +164,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior_sha
     penalty = float(np.median(w)) / 40
     raw = ToxicModel(h[order], w[order], penalty, 1.0, 0.0, 1.0, 0.0)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = K.HashCache(20, np.float64)
-        for b in batches:
-            p = K.words(b.column("text"))
-            top, n = np.zeros(b.num_rows), np.diff(p.first).astype(np.int64)
-            for d, _, found in _scan(p, raw, cache):
-                top[d] = max(s for _, _, s in found)
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(top), pa.array(n)], ["toxic", "top", "n"])
-
-    seen = map_arrow(rows.select("toxic", "text"), best, "toxic int, top double, n long").toPandas()  # at most 2 x max_labelled small rows
+    def evidence(m: ToxicModel, told: Callable) -> pd.DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache = K.HashCache(20, np.float64)
+            for b in batches:
+                p = K.words(b.column("text"))
+                x, n = np.zeros(b.num_rows), np.diff(p.first).astype(np.int64)
+                for d, words, found in _scan(p, m, cache):
+                    x[d] = told(found, words)
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x), pa.array(n)], ["toxic", "x", "n"])
+
+        return map_arrow(held.select("toxic", "text"), run, "toxic int, x double, n long").toPandas()  # at most 2 x max_labelled small rows
+
+    # too few set apart to calibrate on: all
+    held = rows.where("apart") if min(size.get((True, 0), 0), size.get((True, 1), 0)) >= LEAST_HELD else rows
+    seen = evidence(raw, lambda found, _: max(s for *_, s in found))
     clean = seen[seen.toxic == 0]
     # Gumbel by quartiles (mislabelled documents don't move it) over those that aren't toxic; a twelfth of one clear word is the least spread
-    q1, q2, q3 = np.quantile(clean.top, [0.25, 0.5, 0.75])
+    q1, q2, q3 = np.quantile(clean.x, [0.25, 0.5, 0.75]) if len(clean) else (0.0, 0.0, 0.0)
     scale = max(float(q3 - q1) / 1.5725, float(np.median(w)) / 12)
-    location = max(0.0, float(q2 - scale * np.log(np.maximum(clean.n, 1)).median() + np.log(np.log(2)) * scale))
+    location = max(0.0, float(q2 - scale * np.log(np.maximum(clean.n, 1)).median() + np.log(np.log(2)) * scale)) if len(clean) else 0.0
     m = ToxicModel(raw.hashes, raw.weights, penalty, scale, location, 1.0, 0.0)
-    x = np.maximum(0, (seen.top.to_numpy() - location - scale * np.log(np.maximum(seen.n.to_numpy(), 1))) / scale)
-    slope, offset = _logistic(x, seen.toxic.to_numpy().astype(float))
+    seen = evidence(m, lambda found, words: _evidence(found, words, m)[0])
+    slope, offset = _logistic(seen.x.to_numpy(), seen.toxic.to_numpy().astype(float))
     return ToxicModel(m.hashes, m.weights, penalty, scale, location, slope, offset)
 
 
