@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .runtime import crc_order, documents, fold, map_arrow
 
-#: Documents learned from for each language, and languages, at most.
-PER_LANGUAGE, LANGUAGES = 1_500, 64
+#: Documents learned from for each language, at most.
+PER_LANGUAGE = 1_500
 SIZES, BUCKETS = range(2, 5), 1 << 15
 #: Cost of a change of language, in units of the tempered scores; how much of overlapping n-grams' evidence counts.
 SWITCH, TEMPER = 8.0, 0.4
-#: Words decoded at once.
-GROUP_WORDS = 2_000_000
+#: Scores (words times languages) decoded at once, and kept of distinct words.
+GROUP_SCORES, KEPT_SCORES = 1 << 23, 1 << 23
 LABELLED = "doc_id long, lang_pred string, score double, n_spans int, spans array<struct<start:int,end:int,lang:string>>"
 
 
@@ -81,14 +81,14 @@ def _buckets(g: np.ndarray) -> np.ndarray:
     return (g % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
-    """Learn from at most ``per_language`` documents of each of the ``languages`` most frequent values of lang.
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
+    """Learn from at most ``per_language`` documents of each value of lang; the model takes 128 kB for each value.
 
     Which ones is told from ids and lang alone, in a fixed pseudo-random order;
-    only those ids, of a bounded number, are broadcast to the texts.
+    only those ids and one count for each language are broadcast.
     """
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).withColumnRenamed("count", "_n")
+    common = known.groupBy("lang").count().withColumnRenamed("count", "_n")
     order = Window.partitionBy("lang").orderBy(crc_order("doc_id"), "doc_id")
     # about 1.2 times the wanted number by a threshold on hashes, so that no window holds more of a frequent language
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < F.lit(1.2e6 * per_language) / F.col("_n")
@@ -129,10 +129,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
 class WordScores:
     """Scores of words by language, each distinct word's computed once while the bounded cache holds it."""
 
-    def __init__(self, m: LanguageModel, most: int = 1 << 21):
-        self.m, self.most, self.used = m, most, 0
+    def __init__(self, m: LanguageModel, most: int = KEPT_SCORES):
+        self.m, self.most, self.used = m, max(1 << 12, most // max(1, len(m.languages))), 0
         self.cache = K.HashCache(20)
-        self.rows = np.zeros((1 << 16, len(m.languages)), np.float32)
+        self.rows = np.zeros((1 << 12, len(m.languages)), np.float32)
 
     def __call__(self, p: K.Pieces, script: np.ndarray) -> np.ndarray:
         if self.used > self.most:
@@ -145,8 +145,9 @@ class WordScores:
             rep = miss[back]
             while self.used + len(fresh) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for i in range(0, len(rep), 1 << 15):
-                part = rep[i : i + (1 << 15)]
+            size = max(256, (1 << 17) // max(1, len(self.m.languages)))
+            for i in range(0, len(rep), size):
+                part = rep[i : i + size]
                 g, owner = K.grams(p, part, SIZES)
                 order = np.argsort(owner, kind="stable")
                 score = np.add.reduceat(self.m.table[_buckets(g)[order]], np.searchsorted(owner[order], np.arange(len(part))), axis=0)
@@ -172,17 +173,18 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np.
     head = first[:-1][order]
     total = np.zeros((len(n), score.shape[1]))
     every = np.arange(len(n))
+    kind = np.min_scalar_type(max(score.shape[1] - 1, 0))
     steps = []
     for t, k in enumerate(alive.tolist()):
         s, v = score[head[:k] + t], total[:k]
         if t:
             best = v.argmax(1)
             top = (v[every[:k], best] - switch)[:, None]
-            steps.append((best.astype(np.uint8), v >= top))
+            steps.append((best.astype(kind), v >= top))
             v = np.maximum(v, top)
         total[:k] = v + s
-    out = np.zeros(len(score), np.uint8)
-    label = total.argmax(1).astype(np.uint8)
+    out = np.zeros(len(score), kind)
+    label = total.argmax(1).astype(kind)
     for t in range(len(alive) - 1, -1, -1):
         k = int(alive[t])
         out[head[:k] + t] = label[:k]
@@ -209,7 +211,7 @@ def predict(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> Da
             label, n = label_all[at : at + len(p)], len(ids)
             at += len(p)
             doc = p.doc()
-            share = np.bincount(doc * len(names) + label, weights=letters, minlength=n * len(names)).reshape(n, len(names))
+            share = np.bincount(doc * len(names) + label.astype(np.int64), weights=letters, minlength=n * len(names)).reshape(n, len(names))
             total = share.sum(1)
             best = share.argmax(1)
             # letters of scripts beyond the ranges tell nothing: the first language, at its even share
@@ -240,7 +242,7 @@ def predict(docs: DataFrame, model: LanguageModel, switch: float = SWITCH) -> Da
                 continue
             held.append((b.column("doc_id"), p, pc.match_substring_regex(p.texts.column, r"\pL").to_numpy(zero_copy_only=False)))
             n += len(p)
-            if n >= GROUP_WORDS:
+            if n * len(names) >= GROUP_SCORES:
                 yield from finish(held, scores)
                 held, n = [], 0
         if held:

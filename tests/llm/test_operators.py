@@ -415,6 +415,17 @@ def test_languages_and_mixed_spans(spark):
     assert langid.predict(docs(spark, []), model).collect() == []
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    rng = random.Random(18)
+    stems = [f"{a}{b}" for a in "bcdfghjklmnpqrst" for b in "bcdfghjklmnpqrstvw"][:270]
+    said = lambda s, n: " ".join(s + rng.choice("aeiou") + s + rng.choice("aeiou") for _ in range(n))
+    rows = [(k, said(s, 20), f"lang{k:03}") for k, s in enumerate(stems) for _ in range(1 + (k == 5))]
+    model = langid.fit(docs(spark, rows))
+    assert len(model.languages) == 270
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, [(k, said(s, 8)) for k, s in enumerate(stems)]), model).collect()}
+    assert np.mean([got[k] == f"lang{k:03}" for k in got]) > 0.98
+
+
 # --- 7 packing
 
 
