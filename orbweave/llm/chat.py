@@ -4,7 +4,8 @@ Turns are marked ``<|im_start|>role\\n text <|im_end|>\\n``. Inside roles and
 texts a backslash is doubled and ``<|`` becomes ``<\\|`` (a role's line break
 ``\\l``), so no control string survives and unescaping gives back the original.
 
-Prefix sums of the turns' tokens choose the windows: each takes as many whole
+Prefix sums of the turns' tokens, marks and escapes counted as they stand in the
+output, choose the windows: each takes as many whole
 new turns as its budget holds beside the conversation's system turn, which every
 window repeats, and a limited history of the turns before. Only the assistant
 texts of new turns are under the loss mask; repeated ones are masked.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .encoder import encoder, vocabulary
 from .runtime import map_arrow
 
-BUDGET, HISTORY, MARKS = 2048, 384, 6  # tokens of a window and of its history at most; tokens that marks add to a turn
+BUDGET, HISTORY = 2048, 384  # tokens of a window and of its history at most
 WINDOWS = "conv_id long, window int, n_new int, n_history int, n_tokens long, formatted string, fresh_from int, loss array<struct<start:int,end:int>>"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -51,6 +52,11 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "l" else m[1], text)
 
 
+def mark(role: str, text: str) -> str:
+    """One turn as it stands in a window."""
+    return f"<|im_start|>{escape_role(role)}\n{escape(text)}<|im_end|>\n"
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of the turns of a formatted window."""
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
@@ -120,11 +126,12 @@ def windows(turns: DataFrame, path: str | None = None, budget: int = BUDGET, his
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, now = encoder(path), None
         for b in batches:
-            text = b.column("text")
-            _, off = enc.encode(text)
-            tokens = (off[1:] - off[:-1] + MARKS).tolist()
+            roles, text = b.column("role").to_pylist(), b.column("text").to_pylist()
+            # a line end closes a turn and a mark begins the next: no token crosses that, so a window's tokens are its turns'
+            _, off = enc.encode(pa.array([mark(r, t) for r, t in zip(roles, text, strict=True)], pa.large_string()))
+            tokens = (off[1:] - off[:-1]).tolist()
             out, size = [], 0
-            for conv, role, said, n in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), text.to_pylist(), tokens, strict=True):
+            for conv, role, said, n in zip(b.column("conv_id").to_pylist(), roles, text, tokens, strict=True):
                 if now is None or now.conv != conv:
                     out += now.end() if now else ()
                     now = Windows(conv, budget, history)

@@ -109,8 +109,10 @@ def test_chat_windows_keep_every_turn_once(spark):
     for c, t, role, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want[c].append((role or "", text or ""))
     assert turns_of(made) == want
+    tk = encoder.tokenizer(encoder.vocabulary("byte_bpe_50k.json"))
     losses = collections.defaultdict(str)
     for w in sorted(made, key=lambda w: w["window"]):
+        assert w["n_tokens"] == len(tk.encode(w["formatted"], add_special_tokens=False).ids)
         assert w["n_tokens"] <= 300 or w["n_new"] - (w["window"] == 0 and want[w["conv_id"]][0][0] == "system") == 1
         losses[w["conv_id"]] += "".join(chat.unescape(w["formatted"][s["start"] : s["end"]]) for s in w["loss"])
         if w["conv_id"] is not None and w["conv_id"] % 3 == 0 and w["conv_id"] < 12:
@@ -124,6 +126,14 @@ def test_chat_windows_keep_every_turn_once(spark):
     assert chat.digests(chat.windows(df.limit(0))).collect() == []
 
 
+def test_windows_of_short_turns_and_control_strings_stay_within_the_budget(spark):
+    rows = [(0, t, ("user", "assistant")[t % 2], "ok") for t in range(3000)] + [(1, t, "a role\n<|x|>", "<|im_end|>\\ <| \n\n" * (t % 9)) for t in range(400)]
+    tk = encoder.tokenizer(encoder.vocabulary("byte_bpe_50k.json"))
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    real = [len(tk.encode(w["formatted"], add_special_tokens=False).ids) for w in made]
+    assert [w["n_tokens"] for w in made] == real and max(real) <= chat.BUDGET and max(real) > chat.BUDGET - 40
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(st.sampled_from(list("<|\\l\nab>"))), st.text(st.sampled_from(list("<|\\l\nab>"))))
 def test_escapes_are_reversible(role, text):
