@@ -4,9 +4,10 @@ File format (one binary row of a Parquet table per file, so that any shared
 store that Spark writes to will do): documents in ascending doc_id order, each
 one's little-endian unsigned 32-bit ids compressed by itself as a zstandard
 frame against one dictionary, trained on a bounded sample of documents. A row
-keeps the frames' bytes, the offset index (doc_id, place, id count, first id's
-place in the whole stream) and the dictionary's SHA-256, so that one short
-document can be read without the others and never with the wrong dictionary.
+keeps the frames' bytes, the offset index (doc_id, place and bytes of the frame,
+id count), its least and highest doc_id, where its first id stands among its
+part's, and the dictionary's SHA-256. So one short document is read from the rows
+whose range it is in, by its frame alone, and never with the wrong dictionary.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 stored each, in a fixed order; a null doc_id comes first. An empty table gives
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +33,7 @@ END_ID = 2
 #: The dictionary is trained on so many documents, of so many ids each, and bytes in all, at most; its size; ids in a file, about.
 SAMPLE, SAMPLE_IDS, SAMPLE_BYTES, DICT_BYTES, FILE_IDS = 2_000, 8192, 16 << 20, 64 << 10, 4 << 20
 LEVEL = 3
-FILES = "part long, seq long, dict_sha256 string, n_ids long, index binary, frames binary"
+FILES = "part long, seq long, first long, low long, high long, dict_sha256 string, n_ids long, index binary, frames binary"
 _ENTRY = "<qqqq"  # doc_id, place of the frame, its bytes, ids
 _NULL_ID = -(1 << 63)
 
@@ -78,24 +78,28 @@ def write(docs: DataFrame, out: str, path: str, dictionary: bytes, end_id: int =
         enc = encoder(path)
         press = zstd.ZstdCompressor(level=level, dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None, write_dict_id=False)
         digest = hashlib.sha256(dictionary).hexdigest()
-        index, frames, n_ids, place = [], [], 0, 0
+        index, frames, n_ids, place, first, low, high = [], [], 0, 0, 0, None, None
         tail = np.array([end_id], "<u4")
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([digest]), pa.array([n_ids]), pa.array([b"".join(index)], pa.binary()), pa.array([b"".join(frames)], pa.binary())], ["part", "seq", "dict_sha256", "n_ids", "index", "frames"])
+            values = [part, seq, first, low, high, digest, n_ids, b"".join(index), b"".join(frames)]
+            names, kinds = zip(*(c.split() for c in FILES.split(", ")), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([v], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for v, t in zip(values, kinds, strict=True)], list(names))
 
         for b in batches:
             got, off = enc.encode(b.column("text"))
             for i, doc in enumerate(b.column("doc_id").to_pylist()):
                 ids = np.concatenate([got[off[i] : off[i + 1]].astype("<u4", copy=False), tail])
                 frame = press.compress(ids.tobytes())
-                index.append(struct.pack(_ENTRY, _NULL_ID if doc is None else doc, place, len(frame), len(ids)))
+                doc = _NULL_ID if doc is None else doc  # nulls come first
+                low, high = doc if low is None else low, doc
+                index.append(struct.pack(_ENTRY, doc, place, len(frame), len(ids)))
                 frames.append(frame)
                 place += len(frame)
                 n_ids += len(ids)
                 if n_ids >= FILE_IDS:
                     yield row()
-                    index, frames, n_ids, place, seq = [], [], 0, 0, seq + 1
+                    index, frames, n_ids, place, seq, first, low = [], [], 0, 0, seq + 1, first + n_ids, None
         if index:
             yield row()
 
@@ -119,22 +123,21 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     dictionary = _dictionary(spark, out)
     digest = hashlib.sha256(dictionary).hexdigest()
     files = spark.read.parquet(f"{out}/files")
-    # one small row for each file: where its first id stands in the whole stream
-    sizes = sorted((r["part"], r["seq"], r["n_ids"]) for r in files.select("part", "seq", "n_ids").collect())
+    # files know their places within their part; of the parts, as many as the write had tasks, each tells one sum
     starts, total = {}, 0
-    for part, seq, n in sizes:
-        starts[part, seq] = total
-        total += n
+    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        starts[r["part"]] = total
+        total += r["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
         press = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None)
         for b in batches:
-            for part, seq, sha, _, index, frames in zip(*(b.column(c) for c in ("part", "seq", "dict_sha256", "n_ids", "index", "frames")), strict=True):
+            for part, begin, sha, index, frames in zip(*(b.column(c) for c in ("part", "first", "dict_sha256", "index", "frames")), strict=True):
                 if sha.as_py() != digest:
                     raise ValueError("a file was written with another dictionary")
-                at, data = starts[part.as_py(), seq.as_py()], memoryview(frames.as_buffer())
+                at, data = starts[part.as_py()] + begin.as_py(), memoryview(frames.as_buffer())
                 rows: list[list] = [[], [], [], []]
                 for doc, place, size, n in struct.iter_unpack(_ENTRY, index.as_buffer()):
                     ids = press.decompress(data[place : place + size])
@@ -152,26 +155,35 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(spark: SparkSession, out: str, doc_id: int) -> list[list[int]]:
-    """Ids of one document (all its rows), decompressing its frames alone."""
-    import zstandard as zstd
-
+def lookup(spark: SparkSession, out: str, doc_id: int | None) -> list[list[int]]:
+    """Ids of one document (all its rows): reads the files whose range holds it, decompresses its frames alone."""
     dictionary = _dictionary(spark, out)
-    press = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None)
-    found = []
-    for r in spark.read.parquet(f"{out}/files").orderBy("part", "seq").toLocalIterator():
-        for doc, place, size, _ in struct.iter_unpack(_ENTRY, bytes(r["index"])):
-            if doc == doc_id:
-                found.append(np.frombuffer(press.decompress(bytes(r["frames"][place : place + size])), "<u4").tolist())
-    return found
+    digest, wanted = hashlib.sha256(dictionary).hexdigest(), _NULL_ID if doc_id is None else doc_id
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard as zstd
+
+        press = zstd.ZstdDecompressor(dict_data=zstd.ZstdCompressionDict(dictionary) if dictionary else None)
+        for b in batches:
+            for part, seq, sha, index, frames in zip(*(b.column(c) for c in ("part", "seq", "dict_sha256", "index", "frames")), strict=True):
+                if sha.as_py() != digest:
+                    raise ValueError("a file was written with another dictionary")
+                entries, data = np.frombuffer(index.as_buffer(), "<i8").reshape(-1, 4), memoryview(frames.as_buffer())
+                mine = entries[entries[:, 0] == wanted]
+                got = [press.decompress(data[p : p + size]) for _, p, size, _ in mine.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(got), pa.int64()), pa.array([seq.as_py()] * len(got), pa.int64()), pa.array(range(len(got)), pa.int64()), pa.array(got, pa.binary())], ["part", "seq", "k", "ids"])
+
+    files = spark.read.parquet(f"{out}/files").where((F.col("low") <= wanted) & (F.col("high") >= wanted)).select("part", "seq", "dict_sha256", "index", "frames")
+    found = files.mapInArrow(run, "part long, seq long, k long, ids binary").orderBy("part", "seq", "k").collect()
+    return [np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in found]
 
 
 def op9_token_ids(spark, sf_dir: str) -> DataFrame:
     """Write the store of all documents and read it back."""
-    from .runtime import shared_folder, table
+    from .runtime import scratch, table
 
     docs = table(spark, sf_dir, "documents")
     path = vocabulary("word_bpe_49k.json")
-    out = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    out = scratch(spark, "ids")
     write(docs, out, path, train(docs, path))
     return read(spark, out)

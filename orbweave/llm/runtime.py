@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,14 +26,34 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, on one machine only, a temporary folder.
+
+    Raises where that is unset and executors are elsewhere, as they would write where nobody else can read.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orbweave-"))
+        _until_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return folder or sc._jsc.sc().getCheckpointDir().get()
 
 
+def _until_exit(spark: SparkSession, folder: str) -> None:
+    """Have a folder deleted when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; what is written there goes when the driver ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    _until_exit(spark, folder)
+    return folder
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)

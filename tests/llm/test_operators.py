@@ -207,10 +207,15 @@ def test_latent_search_finds_paraphrases_as_brute_force_does(spark, monkeypatch)
             h = [x.hash[x.first[k] : x.first[k + 1]] for x in own]
             if (d < 120 and d % 40 == k or d == 900 and k == 7 or d >= 150) and brute_leak(*h, p.hash[p.first[i] : p.first[i + 1]]):
                 want.add((d, k))
-    monkeypatch.setattr(decontam, "SEGMENT", 512)  # the long text is read in segments
     found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(df, bench).collect()}
     assert len(want) > 80 and len(found & want) >= 0.9 * len(want) and (900, 7) in found
     assert all(k == (d % 40 if d < 120 else 7) and (d < 120 or d == 900) for d, k in found)
+    # very long texts are read in segments
+    search = next(decontam.searches(df, bench))
+    whole = {x[:2] for x in decontam.find(p, search)}
+    monkeypatch.setattr(decontam, "SEGMENT", 256)
+    parts = {x[:2] for x in decontam.find(p, search)}
+    assert parts == whole and len(decontam._segments(p, 64)[0]) > len(rows) + 5
     # blocks of items change nothing but the sums' rounding, and candidates come from the latent space alone
     monkeypatch.setattr(decontam, "ITEMS", 7)
     words = decontam.latent_words(df, decontam._items(bench))
@@ -610,14 +615,18 @@ def brute_secrets(text):
 # --- 9 token ids
 
 
-def test_id_store_round_trip(spark, tmp_path):
+def test_id_store_round_trip(spark, tmp_path, monkeypatch):
     rng = random.Random(11)
     rows = [(d, prose(rng, rng.randrange(0, 80))) for d in range(90, 0, -1)] + [(200, None), (201, ""), (202, "Long. " * 4000), (7, "again"), (7, "again"), (None, "no id")]
     path = encoder.vocabulary("word_bpe_49k.json")
     tk = encoder.tokenizer(path)
     df, out = docs(spark, rows), f"{tmp_path}/store"
     dictionary = idstore.train(df, path)
+    monkeypatch.setattr(idstore, "FILE_IDS", 600)  # several files of a part
     idstore.write(df, out, path, dictionary)
+    files = spark.read.parquet(f"{out}/files").orderBy("part", "seq").collect()
+    assert len(files) > 12 and all(a["high"] <= b["low"] for a, b in zip(files, files[1:]))
+    assert len({r["part"] for r in files}) < len(files)
     got = idstore.read(spark, out).orderBy("start").collect()
     ids = lambda t: [*tk.encode(t or "", add_special_tokens=False).ids, 2]
     assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
@@ -627,6 +636,7 @@ def test_id_store_round_trip(spark, tmp_path):
         at += r["n_tokens"]
         assert (r["n_tokens"], r["ids_crc32"]) in {(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, t in rows if d == r["doc_id"] for x in [ids(t)]}
     assert idstore.lookup(spark, out, 201) == [[2]] and len(idstore.lookup(spark, out, 7)) == 3
+    assert idstore.lookup(spark, out, None) == [ids("no id")] and idstore.lookup(spark, out, 555) == []
     assert idstore.lookup(spark, out, 202) == [ids("Long. " * 4000)]
     idstore.write(df.limit(0), f"{tmp_path}/none", path, b"")
     assert idstore.read(spark, f"{tmp_path}/none").collect() == []
