@@ -2,9 +2,11 @@
 
 A text is the multiset of its paragraphs (lines). A paragraph's vector has
 
-* eight numbers from its SHA-256, added modulo 2**32: they tell multisets apart;
+* 17 numbers of 60 bits from SHA-256 hashes, added modulo 2**60: they tell
+  multisets apart;
 * 120 one-bit counters from the MD5 of each of its runs of up to four words,
-  three of 20 bits to a number, added modulo 2**60, and the number of runs: a
+  two of 30 bits to a number, added modulo 2**60, and the number of runs (at most
+  2**30, as a string has at most 2**31 bytes, so no counter overflows): a
   counter's distance from half of the runs is a random +-1 projection of the
   multiset of runs, so products of two texts' projections estimate how much they
   share.
@@ -21,22 +23,27 @@ next document is itself. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EQ_LANES, SHIFTS = 8, 20
-_FIELDS = 1 | 1 << 20 | 1 << 40
-_M32, _M60, _M20 = (1 << 32) - 1, (1 << 60) - 1, (1 << 20) - 1
+EQ_HASHES, SHIFTS = 4, 30
+EQ_LANES = 64 * EQ_HASHES // 15
+_FIELDS = 1 | 1 << 30
+_M60, _M30 = (1 << 60) - 1, (1 << 30) - 1
 #: Runs of up to four words within a line.
 RUN = r"(?:[^ \n\t\r]+[ \t\r]*){1,4}"
 #: Rows of a range of ids that one window holds, about, and ranges at most.
-RANGE_ROWS, RANGES = 4000, 4096
+RANGE_ROWS, RANGES = 4000, 1 << 16
 
 
 def vector(text: str) -> str:
     """SQL of a text's fingerprint: struct<eq array<bigint>, sim array<bigint>, n bigint>."""
-    hashes = f"array(transform(split({text}, '\\n', -1), p -> sha2(p, 256)))"
-    eq = f"transform({hashes}, hs -> transform(sequence(0, {EQ_LANES - 1}), j -> aggregate(hs, 0L, (s, h) -> (s + cast(conv(substr(h, 1 + 8 * j, 8), 16, 10) as bigint)) & {_M32}L)))[0]"
+    wide = ", ".join(f"sha2(concat('{k}:', p), 256)" for k in range(EQ_HASHES))
+    hashes = f"array(transform(split({text}, '\\n', -1), p -> concat({wide})))"
+    eq = f"transform({hashes}, hs -> transform(sequence(0, {EQ_LANES - 1}), j -> aggregate(hs, 0L, (s, h) -> (s + cast(conv(substr(h, 1 + 15 * j, 15), 16, 10) as bigint)) & {_M60}L)))[0]"
     run = RUN.replace("\\", "\\\\")
     runs = f"array(transform(regexp_extract_all({text}, '{run}', 0), r -> md5(rtrim(' \\t\\r', r))))"
     # the two halves of each hash, once; then one sum for each shift and half
@@ -48,22 +55,22 @@ def vector(text: str) -> str:
 
 def add(a: str, b: str) -> str:
     """SQL of the fingerprint of both texts' paragraphs together."""
-    return f"struct(zip_with({a}.eq, {b}.eq, (x, y) -> (x + y) & {_M32}L) as eq, zip_with({a}.sim, {b}.sim, (x, y) -> (x + y) & {_M60}L) as sim, {a}.n + {b}.n as n)"
+    return f"struct(zip_with({a}.eq, {b}.eq, (x, y) -> (x + y) & {_M60}L) as eq, zip_with({a}.sim, {b}.sim, (x, y) -> (x + y) & {_M60}L) as sim, {a}.n + {b}.n as n)"
 
 
 def subtract(a: str, b: str) -> str:
     """SQL of the fingerprint of a's paragraphs without b's."""
-    return f"struct(zip_with({a}.eq, {b}.eq, (x, y) -> (x - y) & {_M32}L) as eq, zip_with({a}.sim, {b}.sim, (x, y) -> (x - y) & {_M60}L) as sim, {a}.n - {b}.n as n)"
+    return f"struct(zip_with({a}.eq, {b}.eq, (x, y) -> (x - y) & {_M60}L) as eq, zip_with({a}.sim, {b}.sim, (x, y) -> (x - y) & {_M60}L) as sim, {a}.n - {b}.n as n)"
 
 
 def text_of(v: str) -> str:
     """SQL of a fingerprint as a string."""
-    return f"concat(array_join(transform({v}.eq, x -> lpad(lower(hex(x)), 8, '0')), ''), ':', array_join(transform({v}.sim, x -> lpad(lower(hex(x)), 15, '0')), ''), ':', cast({v}.n as string))"
+    return f"concat(array_join(transform({v}.eq, x -> lpad(lower(hex(x)), 15, '0')), ''), ':', array_join(transform({v}.sim, x -> lpad(lower(hex(x)), 15, '0')), ''), ':', cast({v}.n as string))"
 
 
 def _projection(v: str) -> str:
     """The counters' distances from half of the runs, times two."""
-    return f"flatten(transform({v}.sim, x -> array(2 * (x & {_M20}L) - {v}.n, 2 * (shiftright(x, 20) & {_M20}L) - {v}.n, 2 * (shiftright(x, 40) & {_M20}L) - {v}.n)))"
+    return f"flatten(transform({v}.sim, x -> array(2 * (x & {_M30}L) - {v}.n, 2 * shiftright(x, 30) - {v}.n)))"
 
 
 def likeness(a: str, b: str) -> str:
@@ -79,18 +86,25 @@ def _ranges(keys: DataFrame) -> tuple[list[int], int | None]:
     parts = min(RANGES, -(-n // RANGE_ROWS))
     if parts < 2:
         return [], top
-    cuts = keys.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]
+    at = _constant([i / parts for i in range(1, parts)], "double")
+    cuts = keys.agg(F.expr(f"percentile_approx(k, {at}, {max(10_000, 4 * parts)})").alias("cuts")).first()["cuts"]
     return sorted(set(cuts) - {top}), top
 
 
-def _range_of(k: Column, cuts: list[int]) -> Column:
-    """How many cuts are below k: first among every 64th, then among the 64 there."""
+def _constant(values: list, kind: str) -> str:
+    """SQL of a constant array, one literal however long."""
+    return f"from_json('{json.dumps(values)}', 'array<{kind}>')"
+
+
+def _range_of(k: str, cuts: list[int]) -> tuple[Column, Column]:
+    """How many cuts are below k, first among those that end blocks of them, then in the block; and whether k is the next."""
     if not cuts:
-        return F.lit(0)
-    every = F.array(*[F.lit(c).cast("long") for c in cuts])
-    coarse = cuts[63::64]
-    block = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in coarse]), lambda x: x < k)) if coarse else F.lit(0)
-    return block * 64 + F.size(F.filter(F.slice(every, block * 64 + 1, F.lit(64)), lambda x: x < k))
+        return F.lit(0), F.lit(False)
+    side = math.isqrt(len(cuts) - 1) + 1
+    ends, every = _constant(cuts[side - 1 :: side], "bigint"), _constant(cuts, "bigint")
+    block = f"size(filter({ends}, x -> x < {k})) * {side}"
+    own = f"({block} + size(filter(slice({every}, {block} + 1, {side}), x -> x < {k})))"
+    return F.expr(own), F.coalesce(F.expr(f"get({every}, {own}) = {k}"), F.lit(False))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -104,8 +118,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     cuts, top = _ranges(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("k")))
     if top is None:
         top = 0
-    own = _range_of(F.col("k"), cuts)
-    is_cut = F.array_contains(F.array(*[F.lit(c).cast("long") for c in cuts]), F.col("k")) if cuts else F.lit(False)
+    own, is_cut = _range_of("k", cuts)
     spot = lambda r, behind: F.struct(r.cast("int").alias("r"), F.lit(behind).alias("behind"))
     none = F.array().cast("array<struct<r:int,behind:int>>")
     spots = F.concat(F.array(spot(own, 0)), F.when(is_cut, F.array(spot(own + 1, 1))).otherwise(none), F.when(F.col("k") == F.lit(top), F.array(spot(F.lit(0), 1))).otherwise(none))
@@ -136,13 +149,14 @@ def op5_fingerprint(spark, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     """The same in DuckDB's SQL."""
     run = RUN
+    wide = " || ".join(f"sha256('{k}:' || p)" for k in range(EQ_HASHES))
     vec = lambda t: f"""struct_pack(
-        eq := list_transform(range(0, {EQ_LANES}), lambda j: (list_sum(list_transform(string_split({t}, chr(10)), lambda p: ('0x' || substr(sha256(p), 1 + 8 * j::int, 8))::bigint)) & {_M32})::bigint),
+        eq := list_transform(range(0, {EQ_LANES}), lambda j: (list_sum(list_transform(string_split({t}, chr(10)), lambda p: ('0x' || substr({wide}, 1 + 15 * j::int, 15))::bigint)) & {_M60})::bigint),
         hs := list_transform(regexp_extract_all({t}, '{run}', 0), lambda r: md5(rtrim(r, chr(32) || chr(9) || chr(13)))))"""
     half = lambda c, at: f"list_transform(range(0, {SHIFTS}), lambda j: (coalesce(list_sum(list_transform({c}.hs, lambda h: (('0x' || substr(h, {at}, 15))::bigint >> j) & {_FIELDS})), 0) & {_M60})::bigint)"
     full = lambda c: f"struct_pack(eq := {c}.eq, sim := list_concat({half(c, 1)}, {half(c, 16)}), n := len({c}.hs)::bigint)"
-    string = lambda c: f"array_to_string(list_transform({c}.eq, lambda x: lpad(lower(to_hex(x)), 8, '0')), '') || ':' || array_to_string(list_transform({c}.sim, lambda x: lpad(lower(to_hex(x)), 15, '0')), '') || ':' || {c}.n::varchar"
-    proj = lambda c: f"flatten(list_transform({c}.sim, lambda x: [2 * (x & {_M20}) - {c}.n, 2 * ((x >> 20) & {_M20}) - {c}.n, 2 * ((x >> 40) & {_M20}) - {c}.n]))"
+    string = lambda c: f"array_to_string(list_transform({c}.eq, lambda x: lpad(lower(to_hex(x)), 15, '0')), '') || ':' || array_to_string(list_transform({c}.sim, lambda x: lpad(lower(to_hex(x)), 15, '0')), '') || ':' || {c}.n::varchar"
+    proj = lambda c: f"flatten(list_transform({c}.sim, lambda x: [2 * (x & {_M30}) - {c}.n, 2 * (x >> 30) - {c}.n]))"
     dot = lambda x, y: f"list_sum(list_transform(list_zip({x}, {y}), lambda z: z[1]::double * z[2]))"
     like = lambda a, b: f"case when {dot(a + 'p', a + 'p')} + {dot(b + 'p', b + 'p')} = 0 then case when {a}.eq = {b}.eq then 1.0 else 0.0 end else greatest(0.0, least(1.0, 2 * {dot(a + 'p', b + 'p')} / ({dot(a + 'p', a + 'p')} + {dot(b + 'p', b + 'p')}))) end::double"
     return f"""

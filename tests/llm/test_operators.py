@@ -364,6 +364,21 @@ def test_fingerprints_are_homomorphic(spark):
     assert all(r["sum"] and r["rest"] for r in out) and out[0]["near"] == out[2]["near"] == 1
 
 
+def test_ranges_of_many_cuts(spark):
+    cuts = sorted(random.Random(23).sample(range(-(10**6), 10**6), 5000))
+    own, is_cut = fingerprint._range_of("id", cuts)
+    for r in spark.createDataFrame([(c + d,) for c in cuts[::97] for d in (-1, 0, 1)] + [(-(10**7),), (10**7,)], "id long").select("id", own.alias("n"), is_cut.alias("c")).collect():
+        assert r["n"] == int(np.searchsorted(cuts, r["id"])) and r["c"] == (r["id"] in cuts)
+
+
+def test_very_long_texts_keep_apart(spark):
+    """More runs than twenty bits count."""
+    n = (1 << 20) + 12_000
+    df = spark.range(1).select(F.expr(f"repeat('alpha\\n', {n})").alias("a"), F.expr(f"repeat('omega\\n', {n})").alias("b"))
+    r = df.select(*[F.expr(fingerprint.vector(c)).alias(c) for c in "ab"]).select(F.expr(fingerprint.likeness("a", "b")).alias("ab"), F.expr("a.n").alias("n")).first()
+    assert r["ab"] < 0.5 and r["n"] == n
+
+
 def test_next_rows_and_edits(spark, tmp_path):
     rng = random.Random(6)
     rows = [(d * 3, prose(rng, rng.randrange(0, 60))) for d in range(300)] + [(1000, None), (1001, ""), (1002, "é" * 9), (None, "last of all"), (6, "again"), (6, "again")]
