@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fingerprint": fingerprint.oracle()}
+    return {"op4_jaccard": jaccard.oracle(), "op5_fingerprint": fingerprint.oracle()}

@@ -9,15 +9,17 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from orbweave.llm import chat, decontam, encoder, fingerprint, idstore, jaccard, langid, packing, secrets, tokencount, toxicity
+from orbweave.llm import chat, decontam, encoder, fingerprint, idstore, jaccard, langid, packing, queries, secrets, tokencount, toxicity
 from orbweave.llm import kernels as K
 
+SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string"
 WORDS = re.compile(r"[a-z0-9_\u0080-\U0010ffff]+")
 
@@ -32,6 +34,20 @@ def prose(rng, n, vocabulary=400):
     return " ".join(f"w{rng.randrange(vocabulary)}" + rng.choice(["", "", "", ".", ","]) for _ in range(n))
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns) and len(got)
+    order = sorted(got.columns)
+    got, want = (x[order].sort_values("doc_id").reset_index(drop=True) for x in (got, want))
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
+
+
 # --- kernels
 
 TEXT = st.text(st.sampled_from(list("ab AB.,'’é\n\t  <|>0　日\x1cß")), max_size=60)
@@ -312,6 +328,49 @@ def test_jaccard_join_equals_brute_force(spark):
     assert jaccard.join(docs(spark, [])).collect() == []
 
 
+def test_crowded_prefixes_are_lengthened_without_losing_links(spark, monkeypatch):
+    """Pages that are mostly one boilerplate, and hot keys and hubs met by broadcast."""
+    rng = random.Random(24)
+    plate, texts = prose(rng, 60, 10_000), {}
+    for g in range(60):
+        own = prose(rng, 24, 10_000).split()
+        for k in range(1 + 4 * (g % 6 == 0)):
+            w = plate.split() + own
+            if k:
+                w[rng.randrange(60, 84)] = f"edit{g}x{k}"
+            texts[len(texts)] = " ".join(w)
+    want = brute_classes(texts)
+    df = docs(spark, texts.items())
+    lengthened = []
+    monkeypatch.setattr(jaccard, "more_trees", lambda *a: lengthened.append(1) or 18)
+    for crowd, hot, few in ((1 << 24, 1000, 100_000), (40, 3, 1)):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+        monkeypatch.setattr(jaccard, "HOT_SHARE", 10**6)
+        monkeypatch.setattr(jaccard, "FEW_EDGES", few)
+        got = jaccard.join(df).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == want
+        assert bool(lengthened) == (crowd == 40)
+    assert len(set(want.values())) > 30
+
+
+def test_neighbours_over_the_edges_of_partitions(spark):
+    rows = [(k, 0, c) for k in range(40) for c in (2 * k, 2 * k + 1)] + [(99, r, 1000 + r) for r in range(300)]
+    got = {tuple(r) for r in jaccard._neighbours(spark.createDataFrame(rows, "key long, rest long, cid long").repartition(7)).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(40)} | {(1000 + r, 1001 + r) for r in range(299)}
+
+
+def test_different_texts_of_one_id_are_searched_and_kept_each(spark):
+    rng = random.Random(25)
+    a, b, c = (prose(rng, 60, 10_000) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, a + " else"), (4, c), (5, None), (5, None), (6, c), (None, c)]
+    got = {r["doc_id"]: r for r in jaccard.join(docs(spark, rows)).collect()}
+    assert {d: r["class_id"] for d, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 4}
+    assert got[1]["n_links"] == 2 and got[2]["n_links"] == 1
+    kept = jaccard.stage(spark, docs(spark, rows), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (4, c), (5, None), (None, c)], key=repr)
+
+
 def test_a_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(5)
     base = prose(rng, 120, 10_000).split()
