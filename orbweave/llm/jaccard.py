@@ -35,7 +35,7 @@ rows. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,8 +53,8 @@ HASHES = TREES * LONGEST
 BLOCK, CROWD = 2048, 1 << 24
 #: A key is hot that meets more than so many rows and more than one in so many of them.
 HOT_ROWS, HOT_SHARE = 1000, 1000
-#: Edges of a task in a step of components.
-FEW_EDGES = 100_000
+#: Edges of a task in a step of components; no more than these are one task's, in one step.
+FEW_EDGES = 1 << 18
 
 SIGNED = "doc_id long, t long, d1 long, d2 long, n long, keys array<long>, rests array<long>, sig binary"
 _REST_BITS = 21
@@ -283,14 +283,29 @@ def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame, similarity: floa
     return map_arrow(both, compare, "a long, b long")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of few edges: roots of both ends are joined, all paths shortened, until nothing changes."""
+    got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    a, b = (np.concatenate([np.zeros(0, np.int64)] + [g[k] for g in got]) for k in (0, 1))
+    node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(node))
+    while (root[x] != root[y]).any():
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+    own = root != np.arange(len(node))
+    yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["node", "comp"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the least node of each node's component, by alternating large-star and small-star steps."""
+    """(node, comp): the least node of each other node's component, by alternating large-star and small-star steps."""
 
-    def star(e: DataFrame, large: bool, parts: int, meet: Callable) -> DataFrame:
+    def star(e: DataFrame, large: bool, parts: int) -> DataFrame:
         near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
         # here a is the centre; small stars only look at lower neighbours
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n"))
-        joined = meet(near, least).select("a", "b", "m").coalesce(parts)
+        joined = spread(near, least, ["a"], "_n").select("a", "b", "m").coalesce(parts)
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -300,12 +315,12 @@ def components(edges: DataFrame) -> DataFrame:
     total = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = total(now)
-    while before[0]:
-        # a step makes no more edges than there are; few of them need neither as many tasks nor files as the texts
+    if before[0] <= FEW_EDGES:
+        return settle(map_arrow(now.coalesce(1), _joined, "node long, comp long"))
+    while True:
+        # a step makes no more edges than there are, which need fewer tasks and files than the texts
         parts = max(4, -(-before[0] // FEW_EDGES))
-        # nor can few edges make a hub that a task wouldn't hold
-        meet = (lambda near, least: near.join(least, "a")) if before[0] <= FEW_EDGES else (lambda near, least: spread(near, least, ["a"], "_n"))
-        now = settle(star(star(now.coalesce(parts), True, parts, meet), False, parts, meet))
+        now = settle(star(star(now.coalesce(parts), True, parts), False, parts))
         after = total(now)
         if after == before:
             break
