@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 _MUL = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
