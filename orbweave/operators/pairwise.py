@@ -1,14 +1,20 @@
 """Distances of steps and of trajectories.
 
-Steps are packed into blocks of rows; pairs of blocks meet in an equi-join (each
-block is dealt to its partners' numbers), and one Arrow kernel makes a pair's
-distances with a matrix product and sums them along diagonals. No table of all
-T x T distances exists unless it is the result; scoring keeps the few best of each
-row within the kernel. Half of the grid is computed, as distances are symmetric.
+The series is cut into super-blocks of neighbouring steps; each pair of them is one
+task's, so a step is sent as many times as there are super-blocks, in one shuffle,
+and no table of all T x T distances exists unless it is the result. In the task an
+Arrow kernel makes the distances of a tile with a matrix product and sums them
+along diagonals; scoring keeps the few best of each row within the kernel. Half of
+the grid is computed, as distances are symmetric.
+
+Vectors (t, x) must have each step from 0 to the last once, and x of one length:
+anything else raises. NaN and null components make distances NaN, which no
+neighbour search takes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,44 +22,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of one block of vectors, about; rows of a block at least and at most.
-BLOCK_BYTES, LEAST_ROWS, MOST_ROWS = 4 << 20, 16, 512
+#: Bytes of a super-block, at most about, of an Arrow batch and of a tile's vectors; rows of a tile at least and at most.
+SUPER_BYTES, BATCH_BYTES, TILE_BYTES, LEAST_ROWS, MOST_ROWS = 128 << 20, 8 << 20, 4 << 20, 16, 512
 
 
 def sq_norms(vec: DataFrame) -> DataFrame:
+    """(t, norm2): each vector's squared norm; null where a component is."""
     return vec.select("t", F.aggregate(F.transform("x", lambda v: v * v), F.lit(0.0), lambda a, v: a + v).alias("norm2"))
 
 
 def shape(vec: DataFrame) -> tuple[int, int]:
-    """Steps and components; t is dense from 0."""
-    r = vec.agg(F.max("t"), F.max(F.size("x"))).first()
-    return (r[0] + 1, r[1]) if r[0] is not None else (0, 0)
+    """Steps and components. Raises unless t is dense from 0, each step once, and all x are of one length."""
+    size = F.coalesce(F.size("x"), F.lit(-1))
+    r = vec.agg(F.count("*").alias("n"), F.count_distinct("t").alias("k"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.min(size).alias("short"), F.max(size).alias("d")).first()
+    if not r["n"]:
+        return 0, 0
+    if r["lo"] != 0 or r["hi"] + 1 != r["n"] or r["k"] != r["n"]:
+        raise ValueError(f"steps must be 0 to n - 1, each once: {r['n']} rows, {r['k']} steps from {r['lo']} to {r['hi']}")
+    if r["short"] != r["d"] or r["d"] < 0:
+        raise ValueError(f"vectors of {r['short']} to {r['d']} components")
+    return r["n"], r["d"]
 
 
-def block_rows(d: int, steps: int) -> int:
-    """Rows of a block by its bytes, and small enough that there are some tens of pairs to deal out."""
-    return int(max(LEAST_ROWS, min(MOST_ROWS, BLOCK_BYTES // (8 * max(d, 1)), -(-steps // 8))))
+def tile_rows(d: int, steps: int) -> int:
+    """Rows of a tile, by its bytes."""
+    return int(max(LEAST_ROWS, min(MOST_ROWS, TILE_BYTES // (8 * max(d, 1)), -(-steps // 8))))
 
 
-def _blocks(vec: DataFrame, rows: int, length: int) -> DataFrame:
-    """(b, rows) with the block's steps and the length - 1 steps behind it."""
-    first = F.greatest(F.lit(0), F.ceil((F.col("t") - (rows + length - 2)) / rows)).cast("long")
-    spread = vec.select("t", "x", F.explode(F.sequence(first, F.expr(f"t div {rows}"))).alias("b"))
-    return spread.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("rows"))  # at most rows + length - 1
-
-
-def _matrix(cell: pa.ListScalar) -> tuple[int, np.ndarray]:
-    s = cell.values
-    t, x = s.field("t"), s.field("x")
-    flat = x.flatten().to_numpy(zero_copy_only=False)
-    return int(t[0].as_py()), flat.reshape(len(t), -1)
+def super_blocks(n: int, d: int, cores: int) -> int:
+    """How many super-blocks n starts make: small enough for a task, and some pairs for each core."""
+    return max(1, min(n, max(-(-n * d * 8 // SUPER_BYTES), math.isqrt(4 * cores - 1) + 1)))
 
 
 def traj_block(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """D of all starts in a and b: squared distances, never below 0, summed along diagonals."""
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
     np.maximum(d, 0, out=d)
-    n, m = len(a) - length + 1, len(b) - length + 1
+    n, m = max(0, len(a) - length + 1), max(0, len(b) - length + 1)
     out = d[:n, :m].copy()
     for o in range(1, length):
         out += d[o : o + n, o : o + m]
@@ -61,30 +66,60 @@ def traj_block(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
 
 
 def over_block_pairs(vec: DataFrame, length: int, kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(i0, j0, D)`` of every pair of blocks, i0 <= j0, as rows of ``schema``; it yields record batches."""
+    """``kernel(i0, j0, D)`` of every pair of tiles, i0 <= j0, as rows of ``schema``; it yields record batches."""
+    spark = vec.sparkSession
     steps, d = shape(vec)
-    rows = block_rows(d, steps)
     n = max(0, steps - length + 1)
-    blocks = _blocks(vec, rows, length).where(F.col("b") * rows < n)
-    last = max(0, -(-n // rows) - 1)
-    left = blocks.select(F.col("b").alias("bi"), F.col("rows").alias("ra"), F.explode(F.sequence(F.col("b"), F.lit(last))).alias("bj"))
-    right = blocks.select(F.col("b").alias("bj"), F.col("rows").alias("rb"))
-    pairs = left.join(right, "bj")
-    pairs = pairs.repartition(F.col("bi"), F.col("bj")).select("ra", "rb")
+    rows = tile_rows(d, steps)
+    g = super_blocks(n, d, spark.sparkContext.defaultParallelism)
+    per = max(1, -(-n // (g * rows))) * rows  # starts of a super-block, whole tiles
+    g = max(1, -(-n // per))
+    # a step is in its own super-block and, up to length - 1 steps behind the end, in those before
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - (per + length - 2)) / per)).cast("long")
+    own = vec.select("t", "x", F.explode(F.sequence(first, F.least(F.expr(f"t div {per}"), F.lit(g - 1)))).alias("b"))
+    ahead = F.transform(F.sequence(F.col("b"), F.lit(g - 1).cast("long")), lambda j: F.struct(F.col("b").alias("bi"), j.alias("bj"), F.lit(0).alias("side")))
+    behind = F.transform(F.sequence(F.lit(0).cast("long"), F.col("b")), lambda i: F.struct(i.alias("bi"), F.col("b").alias("bj"), F.lit(1).alias("side")))
+    # of a super-block with itself one copy is enough
+    spots = F.filter(F.concat(ahead, behind), lambda z: (z["bi"] < z["bj"]) | (z["side"] == 0))
+    dealt = own.select("t", "x", F.explode(spots).alias("z")).select("z.bi", "z.bj", "z.side", "t", "x")
+    dealt = dealt.repartition(max(1, g * (g + 1) // 2), "bi", "bj").sortWithinPartitions("bi", "bj", "side", "t")
+
+    def tiles(bi: int, bj: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for p in range(0, len(a) - length + 1, rows):
+            i0 = bi * per + p
+            for q in range(p if bi == bj else 0, len(b) - length + 1, rows):
+                j0 = bj * per + q
+                dist = traj_block(a[p : p + rows + length - 1], b[q : q + rows + length - 1], length)
+                yield from kernel(i0, j0, dist)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ca, cb in zip(batch.column("ra"), batch.column("rb"), strict=True):
-                i0, a = _matrix(ca)
-                j0, b = _matrix(cb)
-                dist = traj_block(a, b, length)
-                # a block keeps its own starts only; the last one ends with the series
-                yield from kernel(i0, j0, dist[: min(rows, n - i0), : min(rows, n - j0)])
+        at: tuple[int, int] | None = None
+        held: tuple[list, list] = ([], [])
 
-    spark = vec.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 16:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a row holds two blocks
-    return pairs.mapInArrow(run, schema)
+        def told() -> Iterator[pa.RecordBatch]:
+            a, b = (np.concatenate(h) if h else None for h in held)
+            yield from tiles(*at, a, a if b is None else b)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bi", "bj", "side")], 1)
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(place)), strict=True):
+                pair = int(place[lo, 0]), int(place[lo, 1])
+                if at is not None and pair != at:
+                    yield from told()
+                    held = ([], [])
+                at = pair
+                held[place[lo, 2]].append(x[lo:hi])
+        if at is not None:
+            yield from told()
+
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", max(16, BATCH_BYTES // (8 * max(d, 1)))
+    if not 0 < int(spark.conf.get(key, "10000")) <= most:
+        spark.conf.set(key, str(most))
+    return dealt.mapInArrow(run, schema)
 
 
 def traj_distance(vec: DataFrame, length: int, apart: int = 1) -> DataFrame:

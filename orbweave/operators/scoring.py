@@ -52,14 +52,19 @@ def _starts(vec: DataFrame, length: int) -> DataFrame:
 
 
 def score_base(vec: DataFrame, length: int = 5, k: int = 10, apart: int = -1) -> DataFrame:
-    """(t, score): mean squared distance of the k nearest trajectories at least ``apart`` (-1: length) steps off."""
+    """(t, score): mean squared distance of the k nearest trajectories at least ``apart`` (-1: length) steps off.
+
+    Every start has a row; the score is null where no neighbour has a distance, as with a missing component.
+    """
     apart = length if apart == -1 else apart
-    return nearest(vec, length, k, apart).groupBy(F.col("i").alias("t")).agg(F.avg("d").alias("score"))
+    scores = nearest(vec, length, k, apart).groupBy(F.col("i").alias("t")).agg(F.avg("d").alias("score"))
+    return _starts(vec, length).join(scores, "t", "left").select("t", "score")
 
 
 def score_exclusion(vec: DataFrame, length: int = 5, k: int = 10, apart: int = -1, compat: bool = False) -> DataFrame:
     """(t, score, n): as ``score_base``, but the neighbours also keep ``apart`` from each other, taken greedily from the k * apart nearest.
 
+    Every start has a row; without a neighbour the score is null and n 0.
     ``compat``: trajectory 0 takes its k nearest others without either rule.
     """
     apart = length if apart == -1 else apart
@@ -72,7 +77,7 @@ def score_exclusion(vec: DataFrame, length: int = 5, k: int = 10, apart: int = -
     if compat:
         first = nearest(vec, length, k, 1).where("i = 0").groupBy(F.col("i").alias("t")).agg(F.avg("d").alias("score"), F.count("*").alias("n"))
         scores = scores.where("t <> 0").unionByName(first)
-    return scores
+    return _starts(vec, length).join(scores, "t", "left").select("t", "score", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def score_interval(vec: DataFrame, length: int = 5, k: int = 10, apart: int = -1, season: int = SEASON, compat: bool = False) -> DataFrame:

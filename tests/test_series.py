@@ -178,3 +178,35 @@ def test_sources_round_trip(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/m").count() == 19 * 19
     scored = scoring.knn_scores(field(spark, days=40), length=2, k=3, lat=(0, 10), years=(2000, 2000))
     assert scored.count() == 39 and set(scored.columns) == {"t", "score", "time"}
+
+
+def test_gaps_repeats_and_ragged_vectors_raise(spark):
+    rows = [(t, [float(t), 1.0]) for t in range(40)]
+    frame = lambda r: spark.createDataFrame(r, "t long, x array<double>")
+    for bad in ([r for r in rows if r[0] != 7], [*rows, rows[3]], [*rows[:-1], (39, [1.0])], [*rows[:-1], (39, None)], [(t + 1, x) for t, x in rows]):
+        with pytest.raises(ValueError):
+            pairwise.pairwise_l2(frame(bad)).count()
+    assert pairwise.pairwise_l2(frame(rows[:0])).count() == 0
+
+
+def test_starts_without_a_distance_keep_a_row(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    x[20, 1] = np.nan
+    vec = spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "t long, x array<double>")
+    for made in (scoring.score_base(vec, 2, 3), scoring.score_exclusion(vec, 2, 3)):
+        got = {r["t"]: r["score"] for r in made.collect()}
+        assert sorted(got) == list(range(39)) and [t for t, v in got.items() if v is None] == [19, 20] or sorted(t for t, v in got.items() if v is None) == [19, 20]
+
+
+def test_super_blocks_give_every_pair_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(203, 4))
+    vec = spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "t long, x array<double>")
+    step = ((x[:, None] - x[None]) ** 2).sum(-1)
+    for length, size in ((1, 128 << 20), (5, 128 << 20), (5, 700), (40, 700), (203, 700), (300, 700)):
+        monkeypatch.setattr(pairwise, "SUPER_BYTES", size)
+        n = max(0, 203 - length + 1)
+        want = {(i, j): sum(step[i + o, j + o] for o in range(length)) for i in range(n) for j in range(i + 1, n)}
+        got = [tuple(r) for r in pairwise.traj_distance(vec, length).collect()]
+        assert len(got) == len(want) and all(abs(want[i, j] - d) < 1e-6 for i, j, d in got)
