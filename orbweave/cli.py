@@ -1,4 +1,4 @@
-"""Command line: ``python -m orbweave.cli score FIELD OUT [options]`` and ``match SCORES CATALOGUE OUT [options]``."""
+"""Command line: ``python -m orbweave.cli score FIELD OUT [options]``, ``matrix VECTORS OUT`` and ``match SCORES CATALOGUE OUT [options]``."""
 
 from __future__ import annotations
 
@@ -30,6 +30,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         s.add_argument(f"--{name}", type=int)
     for name in ("remove-leap", "remove-seasonal-cycle", "coslat", "standardize", "detrend"):
         s.add_argument(f"--{name}", action="store_true")
+    b = sub.add_parser("matrix", help="all trajectory distances of Parquet vectors (t, x), by row blocks")
+    b.add_argument("vectors")
+    b.add_argument("out")
+    b.add_argument("--traj-length", type=int, default=5)
     m = sub.add_parser("match", help="match top scores with a CSV of event dates")
     m.add_argument("scores")
     m.add_argument("catalogue")
@@ -43,6 +47,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None) -> None:
     a, spark = arguments(argv), session()
+    if a.command == "matrix":
+        tables.build_matrix(spark, a.vectors, a.out, a.traj_length)
+        return
     if a.command == "match":
         top = postscore.top_n(tables.read_scores(spark, a.scores), a.top)
         days = events.expand_dates(top.select(F.to_date("time").alias("date")), a.traj_length)

@@ -41,9 +41,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subtype, start, end): every order as an event of its customer, of one to five days."""
+    """(subtype, start, end, place): every order as an event of its customer, of one to five days."""
     start = F.col("o_orderdate").cast("date")
-    return _read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("subtype"), start.alias("start"), F.expr("date_add(cast(o_orderdate as date), cast(o_orderkey % 5 as int))").alias("end"))
+    return _read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("subtype"), start.alias("start"), F.expr("date_add(cast(o_orderdate as date), cast(o_orderkey % 5 as int))").alias("end"), F.col("o_orderkey").alias("place"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from orbweave.functions.calendar import doy365, is_leap_day, parse_date
 from orbweave.operators import analogue, cluster, events, intrinsic, pairwise, postscore, scoring, validate
 from orbweave.operators import preprocess as P
 from orbweave.plans import fixtures as X
+from orbweave.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -443,7 +444,7 @@ def _(spark, d):
     return events.merge_intervals(X.intervals(spark, d)).select("subtype", day("start").alias("start"), day("end").alias("end"), "n")
 
 
-_MATCHED = f"{_TOP_DAYS}, {X.M}, mm as (select * from (select date, subtype, start, \"end\", row_number() over (partition by date order by subtype, start) rn from dd join m on date between start and \"end\") where rn = 1)"
+_MATCHED = f"{_TOP_DAYS}, {X.M}, mm as (select * from (select date, subtype, start, \"end\", row_number() over (partition by date order by place, start) rn from dd join m on date between start and \"end\" join (select 'c' || o_custkey as subtype, min(o_orderkey) place from orders group by 1) using (subtype)) where rn = 1)"
 
 
 @query("match_intervals", f"with {_MATCHED} select strftime(date, '%Y-%m-%d') as day, subtype, strftime(start, '%Y-%m-%d') as start, strftime(\"end\", '%Y-%m-%d') as \"end\" from mm")
@@ -503,7 +504,7 @@ def _(spark, d):
 
 @query("kmeans_sweep")
 def _(spark, d):
-    return cluster.kmeans_sweep(X.vectors(spark, d), range(2, 6), 3).select("k", "t", "label", r("inertia").alias("inertia"))
+    return cluster.kmeans_sweep(X.vectors(spark, d)).select("k", "t", "label", r("inertia").alias("inertia"))
 
 
 _SIL = f"""{X.tr(1, 1)}, lab as (select vec_id::bigint t, label, 10 as k from embeddings union all select vec_id::bigint t, label % 5, 5 as k from embeddings),
@@ -572,3 +573,50 @@ union all select 'missing_share', 0.0, true union all select 'reconstruction_gap
 def _(spark, d):
     raw = P.remove_leap_days(X.field(spark, d))
     return validate.validate_anomaly(P.deseasonalize(raw), raw).select("check", r("value", 4).alias("value"), "ok")
+
+
+# --- sources and sinks: written to the shared folder and read back
+
+
+@query("csv_round_trip", "select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def _(spark, d):
+    out = tables.scratch(spark, "csv")
+    tables.write_csv(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), out)
+    return tables.read_csv(spark, out, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@query("csv_by_type", "select c_custkey, c_mktsegment as type from customer")
+def _(spark, d):
+    out = tables.scratch(spark, "types")
+    tables.write_by_type(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_mktsegment").alias("type")), out)
+    return tables.read_csv(spark, out).select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("type").cast("string").alias("type"))
+
+
+@query("append_resume", "select n_nationkey, n_name from nation")
+def _(spark, d):
+    out, rows = f"{tables.scratch(spark, 'append')}/t", spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    for part in (rows.where("n_nationkey < 10"), rows.where("n_nationkey < 15"), rows, rows):
+        tables.append_new(part, out, ["n_nationkey"])
+    return spark.read.parquet(out)
+
+
+@query("field_scan", f"with {X.G} select t, cell, lat::double lat, lon::double lon, {rs('value', 4)} as value from g")
+def _(spark, d):
+    out = tables.scratch(spark, "field")
+    tables.write_table(X.field(spark, d).withColumnsRenamed({"lat": "latitude", "lon": "longitude", "time": "date", "value": "z"}).drop("t"), out)
+    return tables.read_field(spark, out, "z").select("t", "cell", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), r("value", 4).alias("value"))
+
+
+@query("scores_sink", f"with {X.S} select t, {rs('score', 4)} as score from s")
+def _(spark, d):
+    out = tables.scratch(spark, "scores")
+    tables.write_table(X.scores(spark, d), out)
+    return tables.read_scores(spark, out).select("t", r("score", 4).alias("score"))
+
+
+@query("build_matrix", ORACLES["traj_matrix"])
+def _(spark, d):
+    source, out = tables.scratch(spark, "vectors"), tables.scratch(spark, "matrix")
+    tables.write_table(X.vectors(spark, d), source)
+    tables.build_matrix(spark, source, out, L)
+    return spark.read.parquet(out).select("i", "j", r("d").alias("d"))

@@ -210,3 +210,32 @@ def test_super_blocks_give_every_pair_once(spark, monkeypatch):
         want = {(i, j): sum(step[i + o, j + o] for o in range(length)) for i in range(n) for j in range(i + 1, n)}
         got = [tuple(r) for r in pairwise.traj_distance(vec, length).collect()]
         assert len(got) == len(want) and all(abs(want[i, j] - d) < 1e-6 for i, j, d in got)
+
+
+def test_p_values_of_a_rank_correlation(spark):
+    # Student's t: known two-sided probabilities
+    for t, df, p in ((1.0, 1, 0.5), (12.706204736, 1, 0.05), (2.228138852, 10, 0.05), (0.0, 7, 1.0), (-3.169272673, 10, 0.01), (1.959963985, 10**7, 0.05)):
+        assert abs(events.two_sided(t, df) - p) < 1e-6
+    rows = lambda v: spark.createDataFrame([(dt.date(2000, 1, k + 1), float(x)) for k, x in enumerate(v)], "date date, score double")
+    r = events.spearman(rows([1, 2, 3, 4, 5, 6]), rows([2, 1, 4, 3, 6, 5])).first()
+    assert r["n"] == 6 and abs(r["rho"] - 0.8285714) < 1e-6 and abs(r["p"] - 0.0415627) < 1e-6
+
+
+def test_subtypes_match_in_the_catalogues_order(spark):
+    rows = [("b", dt.date(2000, 1, 1), dt.date(2000, 1, 9), 1), ("a", dt.date(2000, 1, 2), dt.date(2000, 1, 9), 2), ("b", dt.date(2000, 3, 1), dt.date(2000, 3, 2), 3)]
+    merged = events.merge_intervals(spark.createDataFrame(rows, "subtype string, start date, end date, place long"))
+    days = spark.createDataFrame([(dt.date(2000, 1, 5),)], "date date")
+    assert events.match_intervals(days, merged).first()["subtype"] == "b"
+    assert events.match_intervals(days, merged.drop("place")).first()["subtype"] == "a"
+
+
+def test_kmeans_small_and_large_ways(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(30, 3)) + 20 * c for c in range(3)])
+    vec = spark.createDataFrame([(7 * t, v.tolist()) for t, v in enumerate(x)], "t long, x array<double>")
+    want = sum(((x[30 * c : 30 * c + 30] - x[30 * c : 30 * c + 30].mean(0)) ** 2).sum() for c in range(3))
+    for size, seeds in ((cluster.SMALL_BYTES, 20), (0, 3)):
+        monkeypatch.setattr(cluster, "SMALL_BYTES", size)
+        got = cluster.kmeans_sweep(vec, range(2, 4), seeds).where("k = 3").collect()
+        assert len(got) == 90 and abs(got[0]["inertia"] - want) < 1e-6 * want
+        assert all(len({r["label"] for r in got if r["t"] // 210 == c}) == 1 for c in range(3))
