@@ -15,7 +15,7 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Longer units and odd texts aren't cached. Ids kept in a worker; entries in its hash table (a power of two).
-MAX_UNIT, ARENA, TABLE_BITS = 256, 1 << 22, 20
+MAX_UNIT, ARENA, TABLE_BITS = 256, 1 << 23, 21
 
 
 def tokenizer(path: str):
