@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a super-block, at most about, of an Arrow batch and of a tile's vectors; rows of a tile at least and at most.
@@ -44,6 +44,13 @@ def shape(vec: DataFrame) -> tuple[int, int]:
     return r["n"], r["d"]
 
 
+def small_batches(spark: SparkSession, d: int) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES`` of vectors of d components; never raises them."""
+    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", max(16, BATCH_BYTES // (8 * max(d, 1)))
+    if not 0 < int(spark.conf.get(key, "10000")) <= most:
+        spark.conf.set(key, str(most))
+
+
 def tile_rows(d: int, steps: int) -> int:
     """Rows of a tile, by its bytes."""
     return int(max(LEAST_ROWS, min(MOST_ROWS, TILE_BYTES // (8 * max(d, 1)), -(-steps // 8))))
@@ -116,9 +123,7 @@ def over_block_pairs(vec: DataFrame, length: int, kernel: Callable, schema: str)
         if at is not None:
             yield from told()
 
-    key, most = "spark.sql.execution.arrow.maxRecordsPerBatch", max(16, BATCH_BYTES // (8 * max(d, 1)))
-    if not 0 < int(spark.conf.get(key, "10000")) <= most:
-        spark.conf.set(key, str(most))
+    small_batches(spark, d)
     return dealt.mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ from orbweave.functions.calendar import doy365, is_leap_day, parse_date
 from orbweave.operators import analogue, cluster, events, intrinsic, pairwise, postscore, scoring, validate
 from orbweave.operators import preprocess as P
 from orbweave.plans import fixtures as X
-from orbweave.sources import tables
+from orbweave.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -502,6 +502,12 @@ def _(spark, d):
     return projected.select("t", F.size("x").alias("kept"), r(norm).alias("norm2"))
 
 
+@query("pca_isometry", ORACLES["pairwise_l2"])
+def _(spark, d):
+    every, _ = cluster.pca_project(X.vectors(spark, d), share=1.1)
+    return pairwise.pairwise_l2(every).select("i", "j", r("d").alias("d"))
+
+
 @query("kmeans_sweep")
 def _(spark, d):
     return cluster.kmeans_sweep(X.vectors(spark, d)).select("k", "t", "label", r("inertia").alias("inertia"))
@@ -614,6 +620,11 @@ def _(spark, d):
     return tables.read_scores(spark, out).select("t", r("score", 4).alias("score"))
 
 
+@query("noleap_axis", f"select (row_number() over (order by day) - 1)::bigint as t, strftime(day, '%Y-%m-%d') as day from (select unnest(generate_series(timestamp '1949-01-01', timestamp '2020-12-31', interval 1 day)) as day) where not (month(day) = 2 and day(day) = 29)")
+def _(spark, d):
+    return files.noleap_axis(spark, 1949, 72).select("t", day())
+
+
 @query("build_matrix", ORACLES["traj_matrix"])
 def _(spark, d):
     source, out = tables.scratch(spark, "vectors"), tables.scratch(spark, "matrix")
