@@ -239,3 +239,41 @@ def test_kmeans_small_and_large_ways(spark, monkeypatch):
         got = cluster.kmeans_sweep(vec, range(2, 4), seeds).where("k = 3").collect()
         assert len(got) == 90 and abs(got[0]["inertia"] - want) < 1e-6 * want
         assert all(len({r["label"] for r in got if r["t"] // 210 == c}) == 1 for c in range(3))
+
+
+def made(df) -> int:
+    """Rows that a query's kernels gave, read from its plan once it has run."""
+    df.collect()
+    spent, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "MapInArrowExec":
+                spent += node.metrics().apply("pythonNumRowsReceived").value()
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return spent
+
+
+def test_dimensions_are_told_the_few_nearest_only(spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "LEAST_ROWS", 16)
+    monkeypatch.setattr(pairwise, "MOST_ROWS", 16)
+    _, vec = series(spark, 400, 3)
+    whole = pairwise.traj_matrix(vec, 3)
+    for got, want, most in (
+        (intrinsic.mle_dimension(intrinsic.near_matrix(vec, 3, 20, 16), 20), intrinsic.mle_dimension(whole, 20), 20),
+        (intrinsic.two_nn_dimension(intrinsic.near_matrix(vec, 3, 2)), intrinsic.two_nn_dimension(whole), 2),
+    ):
+        assert tuple(got.first()) == pytest.approx(tuple(want.first()))
+        assert 400 * most <= made(got) < 400 * 10 * most < made(want)
+
+
+def test_copies_have_distance_zero(spark):
+    x = np.random.default_rng(8).normal(size=(40, 64)) * 100
+    x[20:] = x[:20]
+    vec = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "t long, x array<double>")
+    assert {r["d"] for r in pairwise.pairwise_l2(vec).where("j = i + 20").collect()} == {0.0}
