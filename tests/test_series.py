@@ -277,3 +277,13 @@ def test_copies_have_distance_zero(spark):
     x[20:] = x[:20]
     vec = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "t long, x array<double>")
     assert {r["d"] for r in pairwise.pairwise_l2(vec).where("j = i + 20").collect()} == {0.0}
+
+
+@pytest.mark.parametrize("apart", [1, 3])
+def test_totals_are_sums_over_later_starts(spark, apart, monkeypatch):
+    monkeypatch.setattr(pairwise, "LEAST_ROWS", 7)
+    x, vec = series(spark, 60)
+    got = pairwise.traj_totals(vec, 4, apart)
+    want = {r["i"]: r["total"] for r in pairwise.traj_distance_by_window(vec, 4, apart).groupBy("i").agg(F.sum("d").alias("total")).collect()}
+    assert {r["i"]: r["total"] for r in got.collect()} == pytest.approx(want)
+    assert 57 <= made(got) < 600
