@@ -287,3 +287,10 @@ def test_totals_are_sums_over_later_starts(spark, apart, monkeypatch):
     want = {r["i"]: r["total"] for r in pairwise.traj_distance_by_window(vec, 4, apart).groupBy("i").agg(F.sum("d").alias("total")).collect()}
     assert {r["i"]: r["total"] for r in got.collect()} == pytest.approx(want)
     assert 57 <= made(got) < 600
+
+
+def test_equal_intervals_are_one_and_join_no_earlier_one(spark):
+    d = dt.date
+    rows = [(f"c{k}", d(2000, 1, 1), d(2000, 1, 1)) for k in range(50)] + [(f"c{k}", d(2000, 1, 9), d(2000, 1, 11)) for k in range(50) for _ in range(3)]
+    m = events.merge_intervals(spark.createDataFrame(rows, "subtype string, start date, end date").repartition(7))
+    assert sorted((r["start"].day, r["end"].day, r["n"]) for r in m.collect()) == [(1, 1, 1)] * 50 + [(9, 11, 3)] * 50
