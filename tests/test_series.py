@@ -321,3 +321,17 @@ def test_a_start_of_kmeans_is_that_of_plain_rounds_and_measures_less(monkeypatch
     (before, cost, label), (after, got, mine) = times
     assert got == pytest.approx(cost, rel=1e-9) and (mine == label).all()
     assert after < 0.5 * before, (before, after)
+
+
+def test_a_built_matrix_is_whole_and_stored_by_half(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairwise, "LEAST_ROWS", 16)
+    monkeypatch.setattr(pairwise, "MOST_ROWS", 16)
+    x, vec = series(spark, 203)
+    vec.write.parquet(f"{tmp_path}/v")
+    tables.build_matrix(spark, f"{tmp_path}/v", f"{tmp_path}/m", 4)
+    kept = spark.read.parquet(f"{tmp_path}/m")
+    assert kept.agg(F.sum(F.size("d"))).first()[0] < 0.6 * 200 * 200
+    rows = tables.read_matrix(spark, f"{tmp_path}/m").collect()
+    want = np.sqrt(distances(x, 4))
+    assert len(rows) == len({(r["i"], r["j"]) for r in rows}) == 200 * 200
+    assert max(abs(r["d"] - want[r["i"], r["j"]]) for r in rows) < 1e-7 and all(r["d"] == 0 for r in rows if r["i"] == r["j"])
