@@ -772,3 +772,23 @@ def test_toxicity_learns_and_scores(spark):
     none = toxicity.fit(docs(spark, rows), marks.limit(0))
     assert max(r["score"] for r in toxicity.score(docs(spark, odd), none).collect()) < 1e-6
     assert toxicity.score(docs(spark, []), model).collect() == []
+
+
+def test_confirmation_by_numbers_of_words_equals_that_by_hashes(monkeypatch):
+    import pyarrow as pa
+
+    from orbweave.llm import decontam as D
+    from orbweave.llm import kernels as K
+
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 90, n))
+    items = [(k, word(20)) for k in range(12)]
+    texts = pa.array([f"{word(30)} {items[k % 12][1]} {word(30)}" if k % 2 else word(90) for k in range(40)])
+    source = rng.normal(size=(D.TERMS, D.RANK)).astype(np.float16)
+    told = []
+    for most in (D.NUMBERED, 0):
+        monkeypatch.setattr(D, "NUMBERED", most)
+        s = D.index(items, source)
+        told.append(list(D.find(K.words(texts), s)))
+        assert (s.holds is None) == (most == 0)
+    assert told[0] == told[1] and len({(d, k) for d, k, *_ in told[0]}) >= 20
