@@ -190,15 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, prior_sha
     return ToxicModel(m.hashes, m.weights, penalty, scale, location, slope, offset)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton steps, with Platt's smoothed targets and a small ridge."""
-    n1, n0 = y.sum(), (1 - y).sum()
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset by Newton steps, with Platt's smoothed targets and a small ridge. ``weight``: how often each is there, else once."""
+    w = np.ones_like(x) if weight is None else weight
+    n1, n0 = (w * y).sum(), (w * (1 - y)).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     b = np.zeros(2)
     a = np.stack([x, np.ones_like(x)], 1)
     for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (t - q) - 1e-3 * b)
+        step = np.linalg.solve((a * (w * q * (1 - q))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (w * (t - q)) - 1e-3 * b)
         b = b + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break

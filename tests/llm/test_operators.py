@@ -668,6 +668,33 @@ def test_secrets_beyond_the_base_rules_are_found(spark):
     assert len(wrong) <= 0.02 * len(harmless), [harmless[d] for d in wrong[:9]]
 
 
+def test_the_network_learns_from_all_windows(spark, monkeypatch):
+    """More windows than any sample had: each is kept once, several shares learn from all, and what they find is calibrated to all."""
+    rng = random.Random(21)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    plain = [lambda: pick("aeioulrstn", 14), lambda: f"{pick('aeilnrst', 8)}.{pick('aeilnrst', 6)}.com", lambda: f"555-{rng.randrange(10**7):07d}-12"]
+    texts = [f"{prose(rng, 8)} {pick('0123456789abcdef', 36) if d % 16 == 0 else rng.choice(plain)()} {prose(rng, 8)}" for d in range(9000)]
+    df = docs(spark, list(enumerate(texts + texts[:50])))
+    t = K.Texts(pa.array(texts))
+    start, end, doc = secrets._candidates(t)
+    place, which = secrets._slides(t, start, end, doc)
+    code = secrets._codes(t, place, start[which], end[which], doc[which])
+    secret = [bool(brute_secrets(texts[doc[w]])) for w in which]
+    want = collections.Counter({(int(y), c.astype("<i2").tobytes()) for c, y in zip(code, secret)})
+    packed = [r.asDict() for r in secrets.windows(df).collect()]
+    got = collections.Counter((r["label"], c.tobytes()) for r in packed for c in secrets._unpacked([r]))
+    assert got == want and len(want) > 8000
+    monkeypatch.setattr(secrets, "SHARE", 1 << 10)
+    net = secrets.fit(df)
+    score = net.scores(code)
+    assert abs(score.sum() - sum(secret)) < 0.1 * sum(secret)
+    found = np.array(score >= net.threshold)
+    assert found[np.array(secret)].mean() >= 0.95 and found[~np.array(secret)].mean() <= 0.01
+    monkeypatch.setattr(secrets, "FEW", 1 << 20)  # a rare label in all shares
+    other = secrets.fit(df)
+    assert (other.scores(code) >= other.threshold)[np.array(secret)].mean() >= 0.95
+
+
 def test_a_text_of_many_candidates_is_scanned_in_proportion():
     net = secrets.Network.new(np.random.default_rng(3))
     net.threshold = 2.0
