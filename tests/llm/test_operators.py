@@ -819,3 +819,26 @@ def test_confirmation_by_numbers_of_words_equals_that_by_hashes(monkeypatch):
         told.append(list(D.find(K.words(texts), s)))
         assert (s.holds is None) == (most == 0)
     assert told[0] == told[1] and len({(d, k) for d, k, *_ in told[0]}) >= 20
+
+
+def test_the_latent_space_is_fitted_on_passages_of_all_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    order = [r["id"] for r in spark.range(2400).orderBy(F.xxhash64("id"), "id").collect()]
+    together = [f"rare{k}" for k in range(24)]
+    # the last documents by hash of id are the only ones with these words, and have them together
+    rows = [(d, prose(rng, 40) + (" " + " ".join(rng.sample(together, 24)) if n >= 2000 else "")) for n, d in enumerate(order)]
+    rows += [(None, "alone"), (7, None), (8, "")]
+    items = spark.createDataFrame([(1, "alone with rare0 and some more words")], "key long, text string")
+    words = decontam._single(decontam.latent_words(docs(spark, rows), items))
+    of = decontam._unit(words[decontam._terms(K.words(pa.array([" ".join(together)])).hash)])
+    assert np.median(of @ of.T) > 0.8  # a word may share its hash with another
+    # sums are of all passages, once each, and don't depend on how the texts are dealt
+    df = docs(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    (sums, count, n), again = decontam.passage_sums(df), decontam.passage_sums(df.repartition(7))
+    terms = [set(decontam._terms(K.words(pa.array([t or ""])).hash[k : k + decontam.PASSAGE]).tolist()) for _, t in rows for k in range(0, len((t or "").split()), decontam.PASSAGE)]
+    assert n == again[2] == len(terms) and (sums == again[0]).all() and (count == again[1]).all()
+    assert count.sum() == sum(map(len, terms)) and all(count[t] >= 400 for t in decontam._terms(K.words(pa.array([" ".join(together)])).hash))
+    monkeypatch.setattr(decontam, "WEIGHT", 1 << 26)  # sums that 16 bits don't hold
+    assert np.abs(decontam.passage_sums(df)[0]).max() > 1 << 16
