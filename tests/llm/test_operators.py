@@ -842,3 +842,19 @@ def test_the_latent_space_is_fitted_on_passages_of_all_documents(spark, monkeypa
     assert count.sum() == sum(map(len, terms)) and all(count[t] >= 400 for t in decontam._terms(K.words(pa.array([" ".join(together)])).hash))
     monkeypatch.setattr(decontam, "WEIGHT", 1 << 26)  # sums that 16 bits don't hold
     assert np.abs(decontam.passage_sums(df)[0]).max() > 1 << 16
+
+
+def test_a_task_gives_its_freed_memory_back(spark, monkeypatch):
+    from orbweave.llm import runtime
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, fn, schema):
+            return list(fn(iter([1, 2])))
+
+    told = []
+    monkeypatch.setattr(runtime, "release", lambda: told.append(len(told)))
+    assert runtime.map_arrow(Frame(), lambda batches: (told.append(-b) or b for b in batches), "x long") == [1, 2] and told == [-1, -2, 2]
+    monkeypatch.undo()
+    runtime.release()
