@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 
-from orbweave.llm import encoder, packing
+from orbweave.llm import decontam, encoder, packing
+from orbweave.llm import kernels as K
 
 
 def test_pipeline_keeps_what_it_should(spark, tmp_path):
@@ -33,3 +35,20 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
     assert length[305] == len(tk.encode(redacted, add_special_tokens=False).ids) + 1
     assert max(r["offset"] + r["length"] for r in got) <= packing.SEQUENCE
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def test_the_benchmark_stage_is_fitted_on_all_passages_that_reach_it(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(d, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.choice((5, 64, 65, 200)))), f"s{d}") for d in range(2600)]
+    rows += [(None, "no id", "s"), (7, "an id again", None), (8, None, "s"), (9, "", "s")]
+    items = ["q1 q2 q3 q4 q5 q6", "w1 w2 w3 w4 w5 w6", "q1 q2 q3 q4 q5 q6", None]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own, told = decontam.passage_sums, []
+    monkeypatch.setattr(decontam, "passage_sums", lambda texts: told.append(own(texts)) or told[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, df, str(tmp_path))
+    assert kept.columns == df.columns and kept.count() == len(rows)
+    passages = [t.split()[k : k + decontam.PASSAGE] for t in [*(t or "" for _, t, _ in rows), *{t or "" for t in items}] for k in range(0, len(t.split()), decontam.PASSAGE)]
+    ((_, count, n),) = told  # one fit
+    terms = [set(decontam._terms(K.words(pa.array([" ".join(p)])).hash).tolist()) for p in passages]
+    assert n == len(passages) and count.sum() == sum(map(len, terms))
