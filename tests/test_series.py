@@ -296,6 +296,20 @@ def test_equal_intervals_are_one_and_join_no_earlier_one(spark):
     assert sorted((r["start"].day, r["end"].day, r["n"]) for r in m.collect()) == [(1, 1, 1)] * 50 + [(9, 11, 3)] * 50
 
 
+def test_unknown_dates_merge_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from orbweave import catalogue
+
+    con = duckdb.connect()
+    con.execute("""create table orders as select k::bigint o_orderkey, c::bigint o_custkey, t::timestamp o_orderdate from (values
+    (1, 1, '2000-01-01'), (2, 1, '2000-01-10'), (3, 1, null), (5, 1, '2000-02-01'), (null, 1, '2000-02-01'), (4, 2, null), (6, 2, null),
+    (7, null, '2000-03-01'), (8, null, '2000-03-02'), (null, 3, '2000-01-01'), (10, 3, '2000-01-01'), (null, 3, '2000-01-05')) v(k, c, t)""")
+    con.execute(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    got = catalogue.queries()["merge_intervals"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(catalogue.oracle_sql()["merge_intervals"]).fetchall()))
+
+
 def test_a_start_of_kmeans_is_that_of_plain_rounds_and_measures_less(monkeypatch):
     import time
 
