@@ -844,6 +844,34 @@ def test_the_latent_space_is_fitted_on_passages_of_all_documents(spark, monkeypa
     assert np.abs(decontam.passage_sums(df)[0]).max() > 1 << 16
 
 
+def test_the_driver_gets_words_vectors_but_no_sums(spark, monkeypatch):
+    rng = random.Random(8)
+    df = docs(spark, [(d, " ".join(f"w{rng.randrange(700)}" for _ in range(80))) for d in range(300)])
+    items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "key long, text string")
+    sums, count, n = decontam.passage_sums(df.select("doc_id", "text").unionByName(items.withColumnRenamed("key", "doc_id")))
+    idf = (np.log((n + 1) / (count + 1)) + 0.05).astype(np.float32)
+    sums = np.array(sums) * (idf[:, None] / decontam.WEIGHT)
+    want = decontam.subspace(sums[:, : decontam.RANGE].T, sums[:, decontam.RANGE :].T, decontam.RANK) * idf[:, None]
+    told = []
+
+    def counted(get):
+        def run(self):
+            for r in get(self):
+                told.append(sum(len(x) for x in r if isinstance(x, bytes | bytearray)))
+                yield r
+
+        return run
+
+    whole = type(df).collect
+    monkeypatch.setattr(type(df), "toLocalIterator", counted(type(df).toLocalIterator))
+    monkeypatch.setattr(type(df), "collect", lambda self: list(counted(whole)(self)))
+    got = decontam.latent_words(df, items).value
+    assert 2 * got.size <= sum(told) < 5 << 20  # the sums are 32 MB
+    assert got.dtype == np.float16 and np.allclose(got, want * (256 / np.abs(want).max()), atol=0.2)
+    none = decontam.latent_words(df.where("false"), items.withColumn("text", F.lit("")))
+    assert none.value.shape == got.shape and not none.value.any()
+
+
 def test_a_task_gives_its_freed_memory_back(spark, monkeypatch):
     from orbweave.llm import runtime
 
