@@ -886,3 +886,12 @@ def test_a_task_gives_its_freed_memory_back(spark, monkeypatch):
     assert runtime.map_arrow(Frame(), lambda batches: (told.append(-b) or b for b in batches), "x long") == [1, 2] and told == [-1, -2, 2]
     monkeypatch.undo()
     runtime.release()
+
+
+def test_settling_gives_the_drivers_freed_memory_back(spark, monkeypatch):
+    from orbweave.llm import runtime
+
+    own, told = runtime.release_driver, []
+    monkeypatch.setattr(runtime, "release_driver", lambda s: told.append(own(s)))
+    assert runtime.settle(spark.range(9).repartition(2)).count() == 9
+    assert len(told) == 1 and (not told[0] or "rim" in told[0])  # a JVM without the command says nothing
